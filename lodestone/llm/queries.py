@@ -27,9 +27,23 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+def op4_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity_ftrl import judged
+
+    return judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .zstd_quality import judged
+
+    return judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_golay": op3_simhash_golay,
+    "op4_toxicity_ftrl": op4_toxicity_ftrl,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_zstd_quality": op10_zstd_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
