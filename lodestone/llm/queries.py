@@ -6,11 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import quality_rules
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judged
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_golay import classes
 
@@ -40,10 +49,13 @@ def op10_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_rule_cascade": op2_rule_cascade,
     "op3_simhash_golay": op3_simhash_golay,
     "op4_toxicity_ftrl": op4_toxicity_ftrl,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_zstd_quality": op10_zstd_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_rule_cascade": quality_rules.SQL,
+}
