@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules
+from . import line_dedup, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,13 @@ def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import deduplicate
+
+    found = deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,10 +59,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rule_cascade": op2_rule_cascade,
     "op3_simhash_golay": op3_simhash_golay,
     "op4_toxicity_ftrl": op4_toxicity_ftrl,
+    "op8_line_runs": op8_line_runs,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_zstd_quality": op10_zstd_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_rule_cascade": quality_rules.SQL,
+    "op8_line_runs": line_dedup.SQL,
 }
