@@ -179,7 +179,7 @@ def bm25_stats(spark, d):
 
 @query(f"with {chunk_sql()}, {_LEX}, {_q(ASKED)}, {_BM25} select query_id::bigint as query_id, chunk_id, score from lex")
 def lexical_topk(spark, d):
-    return lexical.search(chunks(spark, d), ASKED)
+    return lexical.search(staged(chunks(spark, d).select("chunk_id", "text"), "chunks"), ASKED)
 
 
 @query()
@@ -249,8 +249,9 @@ deduped as (select * exclude (k) from (select *, row_number() over (partition by
 
 
 def _merged(spark, d):
-    every = chunks(spark, d)
-    held = vectors(spark, d)
+    # used by every side of the plan, so cut once
+    every = staged(chunks(spark, d).select("chunk_id", "file_id", "path", "idx", "text"), "chunks")
+    held = staged(vectors(spark, d, every), "vectors")
     near = None
     for i, _, vec_id in FUSED:
         one = vector.top(held, _vector(spark, d, vec_id)).withColumn("query_id", F.lit(i).cast("long"))

@@ -41,8 +41,9 @@ def chunks(spark: SparkSession, d: str, size: int = 1200, overlap: int = 80) ->
     return chunked(files(spark, d), size, overlap)
 
 
-def vectors(spark: SparkSession, d: str) -> DataFrame:
-    first = chunks(spark, d).where("idx = 0").select("chunk_id", "file_id")
+def vectors(spark: SparkSession, d: str, cut: DataFrame | None = None) -> DataFrame:
+    """cut: chunks, if there are any already."""
+    first = (chunks(spark, d) if cut is None else cut).where("idx = 0").select("chunk_id", "file_id")
     return table(spark, d, "embeddings").join(files(spark, d).select("doc_id", "file_id"), F.col("vec_id") == F.col("doc_id")).join(first, "file_id").select("chunk_id", "file_id", "vec_id", "embedding")
 
 
