@@ -4,17 +4,21 @@ A text is the sequence of its lines that aren't blank, each line under a 128-bit
 sequences at once gives every position the name of the run of 1, 2, 4, ... lines that starts there, from the names of two shorter
 runs; names serve as ranks, since only equality matters: positions with the same name are an interval of the suffix array
 whose longest common prefix has at least that many lines. A run of LINES or more lines that repeats is, at each of its
-positions, such an interval at depth LINES, so the doubling stops there and every maximal repeated run is covered. In each
-interval the first position, by document id, stays; the lines of all others are deleted.
+positions, such an interval at depth LINES, so the doubling stops there and every maximal repeated run of LINES or more lines is
+covered. In each interval the first position, by document id, stays; the lines of all others are deleted.
+
+A shorter repeated run stays, unless a least length is given for single lines: then a line of so many words is a run of its own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, let, staged, without
+from .common import SPACE, let, staged, without, words_of
 
 LINES = 2
+#: Words from which the pipeline takes a single line for a run.
+LONG = 50
 
 
 def _numbered(text: Column) -> Column:
@@ -36,19 +40,30 @@ def _names(lines: Column, size: int, seed: str) -> Column:
     return longer(F.transform(lines, lambda s: F.xxhash64(F.lit(seed), s["x"])), 1)
 
 
-def repeated(docs: DataFrame, size: int) -> DataFrame:
+def _long(lines: Column, least: int) -> Column:
+    """(a, b, i, span) of the lines of least or more words, as runs of one line."""
+    numbered = F.transform(lines, lambda s, i: F.struct(s["x"].alias("x"), i.alias("i")))
+    found = F.filter(numbered, lambda s: (F.length(s["x"]) >= 2 * least - 1) & (F.size(words_of(s["x"])) >= least))
+    return F.transform(found, lambda s: F.struct(F.xxhash64(F.lit("a"), s["x"]).alias("a"), F.xxhash64(F.lit("b"), s["x"]).alias("b"), s["i"].alias("i"), F.lit(1).alias("span")))
+
+
+def repeated(docs: DataFrame, size: int, long: int | None = None) -> DataFrame:
     """docs: __rid, __order, __lines. (__rid, __gone): ordinals of the lines to delete, in order, for rows that have any."""
-    runs = docs.select("__rid", "__order", F.explode(F.arrays_zip(F.transform(_names(F.col("__lines"), size, "a"), lambda n, i: F.struct(n.alias("n"), i.alias("i"))).alias("a"), _names(F.col("__lines"), size, "b").alias("b"))).alias("r"))
-    runs = runs.select("__rid", "__order", F.col("r.a.i").alias("i"), F.col("r.a.n").alias("a"), F.col("r.b").alias("b"))
+    lines = F.col("__lines")
+    zipped = F.arrays_zip(_names(lines, size, "a").alias("a"), _names(lines, size, "b").alias("b"))
+    every = F.transform(zipped, lambda r, i: F.struct(r["a"].alias("a"), r["b"].alias("b"), i.alias("i"), F.lit(size).alias("span")))
+    if long is not None:
+        every = F.concat(every, _long(lines, long))
+    runs = docs.select("__rid", "__order", F.explode(every).alias("r")).select("__rid", "__order", "r.*")
     first = runs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("__order", "__rid", "i")).alias("first")).where("n > 1").select("a", "b", "first")
     later = runs.join(first, ["a", "b"]).where(F.struct("__order", "__rid", "i") > F.col("first"))
-    # of a row's many overlapping runs only the starts are gathered: at most one for each of its lines
-    starts = later.groupBy("__rid").agg(F.collect_list("i").alias("s"))
-    return starts.select("__rid", F.array_sort(F.array_distinct(F.flatten(F.transform("s", lambda i: F.sequence(i, i + (size - 1)))))).alias("__gone"))
+    # of a row's many overlapping runs only the starts are gathered: at most two for each of its lines
+    starts = later.groupBy("__rid").agg(F.collect_list(F.struct("i", "span")).alias("s"))
+    return starts.select("__rid", F.array_sort(F.array_distinct(F.flatten(F.transform("s", lambda r: F.sequence(r["i"], r["i"] + r["span"] - 1))))).alias("__gone"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = LINES) -> DataFrame:
-    """docs with the later copies of repeated runs of size or more lines deleted from the texts, and with n_lines (lines that aren't
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = LINES, long: int | None = None) -> DataFrame:
+    """docs with the later copies of repeated runs of size or more lines, and of single lines of long or more words, deleted from the texts, and with n_lines (lines that aren't
     blank), n_removed and n_runs (maximal deleted runs).
 
     Lines are equal if all their characters are. "Later" is by id (null ids last), then by row, then by place, so copies within one
@@ -59,7 +74,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # row ids must be the same in both uses of the table
     rows = staged(clean.withColumn("__rid", F.monotonically_increasing_id()), "lines")
     order = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"))
-    gone = repeated(rows.select("__rid", order.alias("__order"), _numbered(F.col(text_col)).alias("__lines")), size)
+    gone = repeated(rows.select("__rid", order.alias("__order"), _numbered(F.col(text_col)).alias("__lines")), size, long)
     joined = rows.join(gone, "__rid", "left").withColumn("__lines", _numbered(F.col(text_col)))
     n, removed = F.size("__lines"), F.coalesce(F.size("__gone"), F.lit(0))
     every = F.split(text_col, "\n")

@@ -51,3 +51,42 @@ def test_sql_and_empty(spark):
     got = L.deduplicate(df).selectExpr("doc_id", "n_lines", "n_removed", "n_runs", "sha2(coalesce(text, ''), 256)").collect()
     assert sorted(map(tuple, got)) == sorted(duckdb.sql(L.SQL).fetchall())
     assert L.deduplicate(df.limit(0)).count() == 0
+
+
+def every_run(rows, least):
+    """(id, text) without the later copies of runs of two or more lines, of any length, and of single lines of least or more words."""
+    lines = [[(x, i) for i, x in enumerate(t.split("\n")) if x.strip(" \t\n\x0b\x0c\r")] for _, t in rows]
+    seen, gone = set(), [set() for _ in rows]
+    for k, own in enumerate(lines):
+        for o in range(len(own)):
+            for n in range(1, len(own) - o + 1):
+                run = tuple(x for x, _ in own[o : o + n])
+                if n == 1 and len(run[0].split()) < least:
+                    continue
+                if run in seen:
+                    gone[k].update(range(o, o + n))
+                seen.add(run)
+    out = []
+    for k, (i, text) in enumerate(rows):
+        at = {lines[k][o][1] for o in gone[k]}
+        out.append((i, "" if at and len(at) == len(lines[k]) else "\n".join(x for j, x in enumerate(text.split("\n")) if j not in at), len(at)))
+    return out
+
+
+def test_long_single_lines_and_maximal_runs(spark):
+    rng = random.Random(4)
+    rows = [(i, "\n".join(rng.choice(["a", "b c", "", "d e f", "d e  f", "g h i j", f"u{rng.randrange(99)}"]) for _ in range(rng.randrange(12)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (3, 99):
+        got = L.deduplicate(df, long=least).select("doc_id", "text", "n_removed").collect()
+        assert sorted(map(tuple, got)) == every_run(rows, least)
+
+
+def test_pipeline_deletes_long_lines(spark):
+    import corpus_pipeline
+
+    long, short = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("w", 50), ("v", 49)))
+    rows = [(1, f"a\n{long}\nb\n{short}", 0), (2, f"c\n{long}\nd\n{short}", 0)]
+    got = corpus_pipeline.lines(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars int"), "").collect()
+    assert {r.doc_id: r.text for r in got} == {1: rows[0][1], 2: f"c\nd\n{short}"}
+    assert all(r.n_chars == len(r.text) for r in got)
