@@ -1,32 +1,35 @@
-"""Language-model scores of documents by stupid backoff, from counts over all documents.
+"""Language-model scores of documents by stupid backoff over word triples, pairs and words, from counts over all other documents.
 
-Words are as everywhere here, A-Z lower-cased; each text starts with the empty word. A word w after v scores c(v w) / c(v .) if the pair
-occurs SEEN times or more in the corpus, else ALPHA c(w) / N; a document's score is the mean logarithm over its words.
+Words are as everywhere here, A-Z lower-cased; a text starts with two empty words. With c the counts in all other rows, a word w after
+u v scores c(u v w) / c(u v) if that triple occurs there, else ALPHA c(v w) / c(v) if that pair does, else ALPHA**2 c(w) / N, where a word that
+no other row has counts as seen once. A document's score is the mean logarithm over its words. Every count is exact, nothing is pruned.
 
-The counts are tables partitioned by hash, and documents' pairs are joined to them where the counts are. A pair goes to
-the bucket of its first word's hash, where all pairs of that word are counted, so that c(v w) and c(v .) are known there. Pairs of heavy
-words (over 1/HEAVY of all words, so HEAVY of them at most) are spread by the hash of both words, and those words' counts
-are broadcast. What must back off goes on to the bucket of w's hash and meets the word counts. Documents' parts are
-then summed by document. Rows travel in blocks.
+The count tables of all three orders are partitioned by the range of the grams' 64-bit hashes. Documents are taken together in parts; each
+part's distinct grams, with their counts, go to the tables, are joined and summed there, and what other parts have goes back to the part, where it meets
+the documents (as word numbers), is put under every word and summed by document. A gram comes once from each
+part, so that no gram is a hot key. Rows travel in blocks.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .blocks import SCHEMA, by_bucket, dealt, labels, merged, mixed, pack, rows_of, sent, unpack
+from .blocks import labels, mixed, pack, unpack
 from .common import bounded_batches, stable, staged, without
 
-ALPHA, SEEN = 0.4, 2
-HEAVY = 1 << 14
-#: Words that a task takes together.
-AT_ONCE = 1_500_000
+ALPHA = 0.4
+#: Words that a part takes together; a longer text is a part of its own.
+AT_ONCE = 1_200_000
+#: The tables have so many ranges at least; a task holds one at a time.
+RANGES = 512
+#: bucket: where a row goes; major, minor: its order there.
+_ROWS = "bucket int, major bigint, minor int, block binary"
 _U = np.uint64
 
 
@@ -34,234 +37,234 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.lower().split()  # of bytes: A-Z only; splits at space and U+0009 to U+000D
 
 
-def _hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, n, starts): a word's hash, its occurrences, and the pairs that it begins."""
-
-    def out(n: Counter, last: Counter) -> pa.RecordBatch:
-        words = list({**n, **last})
-        count, end = (np.fromiter((c[w] for w in words), np.int64, len(words)) for c in (n, last))
-        return pa.RecordBatch.from_arrays([pa.array(_hashed(words).view(np.int64)), pa.array(count), pa.array(count - end)], names=["h", "n", "starts"])
-
-    n, last = Counter(), Counter()
-    for batch in batches:
-        for text in batch.column(1):
-            words = words_of(text.as_py() or b"")
-            if words:
-                n.update(words)
-                last[words[-1]] += 1
-                last[b""] -= 1
-        if len(n) > AT_ONCE // 2:
-            yield out(n, last)
-            n, last = Counter(), Counter()
-    if last:
-        yield out(n, last)
-
-
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = at = len(self)
         return at
 
 
-def _doc_bucket(rid: np.ndarray, n: int) -> np.ndarray:
-    return (mixed((rid >> 12).astype(np.uint64)) % _U(n)).astype(np.int64)
-
-
-def _totals(names: np.ndarray, rid: np.ndarray, log: np.ndarray, backed: np.ndarray, words: np.ndarray) -> list:
-    """Sums by document, for the documents' buckets."""
-    if not len(rid):
-        return []
-    one, at = np.unique(rid, return_inverse=True)
-    sums = [np.bincount(at, x, len(one)) for x in (log, backed, words)]
-    return sent(names, _doc_bucket(one, len(names)), 2, one, sums[0], sums[1].astype(np.uint32), sums[2].astype(np.uint32), step=0)
-
+def parts(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row ids, numbers of words, words as numbers, hashes of the numbered words) of consecutive texts. The same in each use of a table."""
+    rids, sizes, ids, numbers, held = [], [], [], _Numbers(), 0
 
-_TOTALS = (np.int64, np.float64, np.uint32, np.uint32)
+    def out():
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, held)
+        return np.array(rids, np.int64), np.array(sizes, np.int64), flat, np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
 
-
-def _read_totals(blocks: list[bytes]) -> list[np.ndarray]:
-    parts = [unpack(b, *_TOTALS) for b in blocks]
-    for p in parts:
-        p[0] = np.cumsum(p[0])
-    return [np.concatenate([np.empty(0, k), *(p[i] for p in parts)]) for i, k in enumerate(_TOTALS)]
-
-
-def _pairs(names: np.ndarray, heavy: np.ndarray):
-    """Documents to blocks of pairs (kind 0) by bucket, and of word numbers (kind 2). heavy: sorted hashes."""
-    n = len(names)
-
-    def flush(rids: list[int], sizes: list[int], ids: list[list[int]], numbers: _Numbers) -> list:
-        rid, size = np.array(rids, np.int64), np.array(sizes)
-        out = _totals(names, rid, np.zeros(len(rid)), np.zeros(len(rid)), size)
-        flat = np.fromiter((x for i in ids for x in i), np.uint64, int(size.sum()) + len(ids))  # each text begins with the empty word
-        if not len(flat):
-            return out
-        doc = np.repeat(np.flatnonzero(size).astype(np.uint64), size[size > 0] + 1)
-        same = doc[1:] == doc[:-1]
-        key, m = np.unique((flat[:-1] << _U(43) | flat[1:] << _U(22) | doc[1:])[same], return_counts=True)
-        v, w, d = (key >> _U(43)).astype(np.int64), (key >> _U(22) & _U((1 << 21) - 1)).astype(np.int64), (key & _U((1 << 22) - 1)).astype(np.int64)
-        h = _hashed(list(numbers))
-        code = np.searchsorted(heavy, h)
-        code = np.where((code < len(heavy)) & (heavy[np.minimum(code, len(heavy) - 1)] == h), code, -1) if len(heavy) else np.full(len(h), -1)
-        own = mixed(h)
-        bucket = (np.where(code[v] >= 0, mixed(own[v] * _U(3) + own[w]), own[v]) % _U(n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bucket, v, w, d, m = (x[order] for x in (bucket, v, w, d, m))
-        edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            a, c = v[lo:hi], w[lo:hi]
-            starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-            many = np.diff(np.append(starts, hi - lo))
-            block = (h[a[starts]], many.astype(np.uint32), code[c].astype(np.int32), h[c[code[c] < 0]], rid[d[lo:hi]] - rid[0], m[lo:hi].astype(np.uint32), rid[:1])
-            out.append((int(names[int(bucket[lo])]), 0, pack(*block)))
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rids, sizes, ids, numbers, held = [], [], [], _Numbers(), 0
-        for batch in batches:
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = words_of(text.as_py() or b"")
-                rids.append(rid)
-                sizes.append(len(words))
-                if words:
-                    ids.append(list(map(numbers.__getitem__, [b"", *words])))
-                    held += len(words) + 1
-                if held > AT_ONCE or len(rids) >= 1 << 20 or len(numbers) >= 1 << 20:
-                    yield from rows_of(flush(rids, sizes, ids, numbers))
-                    rids, sizes, ids, numbers, held = [], [], [], _Numbers(), 0
-        if rids:
-            yield from rows_of(flush(rids, sizes, ids, numbers))
-
-    return run
-
-
-_PAIR = (np.uint64, np.uint32, np.int32, np.uint64, np.int64, np.uint32, np.int64)
-
-
-def _scored(names: np.ndarray, heavy: np.ndarray, counts: np.ndarray, starts: np.ndarray, total: int):
-    """Pairs to documents' sums (kind 2), and to what must back off to light words (kind 0: document, hash of w)."""
-    n = len(names)
-
-    def one(blocks: list[bytes]) -> list:
-        hv, hw, rid, m = [], [], [], []
-        for raw in blocks:
-            v, many, code, light, at, times, base = unpack(raw, *_PAIR)
-            w = heavy[np.maximum(code, 0)] if len(heavy) else np.zeros(len(code), np.uint64)
-            w[code < 0] = light
-            hv.append(np.repeat(v, many))
-            hw.append(w)
-            rid.append(at + base[0])
-            m.append(times)
-        hv, hw, rid, m = (np.concatenate(x) for x in (hv, hw, rid, m))
-        order = np.lexsort((hw, hv))
-        hv, hw, rid, m = hv[order], hw[order], rid[order], m[order].astype(np.int64)
-        new_v = np.concatenate(([True], hv[1:] != hv[:-1]))
-        new = new_v | np.concatenate(([True], hw[1:] != hw[:-1]))
-        at = np.flatnonzero(new)
-        pair = np.repeat(np.add.reduceat(m, at), np.diff(np.append(at, len(m))))
-        at = np.flatnonzero(new_v)
-        context = np.add.reduceat(m, at)
-        if len(heavy):
-            k = np.minimum(np.searchsorted(heavy, hv[at]), len(heavy) - 1)
-            context = np.where(heavy[k] == hv[at], starts[k], context)  # a heavy word's pairs are in all buckets
-            j = np.minimum(np.searchsorted(heavy, hw), len(heavy) - 1)
-            known = heavy[j] == hw
-        else:
-            j, known = np.zeros(len(hw), np.int64), np.zeros(len(hw), bool)
-        context = np.repeat(context, np.diff(np.append(at, len(m))))
-        kept = pair >= SEEN
-        log = np.where(kept, m * np.log(pair / context), 0.0)
-        near = ~kept & known
-        if near.any():
-            log[near] = m[near] * np.log(ALPHA * counts[j[near]] / total)
-        out = _totals(names, rid, log, np.where(kept, 0, m), np.zeros(len(m)))
-        far = np.flatnonzero(~kept & ~known)
-        far = far[np.argsort(rid[far], kind="stable")]
-        # a pair seen once is in one document once; with SEEN over 2 it may be there more often
-        far = np.repeat(far, m[far])
-        return out + sent(names, (mixed(hw[far]) % _U(n)).astype(np.int64), 0, rid[far], hw[far], step=0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, held in by_bucket(batches):
-            yield from rows_of([(bucket, 2, b) for b in held.get(2, [])])
-            if 0 in held:
-                yield from rows_of(one(held[0]))
-
-    return run
-
-
-def _table(names: np.ndarray):
-    """Word counts to blocks (kind 1) for the buckets of their hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(0).to_numpy().view(np.uint64)
-            yield from rows_of(sent(names, (mixed(h) % _U(len(names))).astype(np.int64), 1, h, batch.column(1).to_numpy()))
-
-    return run
-
-
-def _backed(names: np.ndarray, total: int):
-    """What backs off meets the word counts; and the sums so far are added up."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in by_bucket(batches):
-            yield from rows_of(_totals(names, *_read_totals(held.get(2, []))))
-            if 0 in held:
-                h, n = merged(held.get(1, []), np.uint64, np.int64)
-                order = np.argsort(h)
-                h, n = h[order], n[order]
-                parts = [unpack(b, np.int64, np.uint64) for b in held[0]]
-                rid, w = np.concatenate([np.cumsum(p[0]) for p in parts]), np.concatenate([p[1] for p in parts])
-                log = np.log(ALPHA * n[np.searchsorted(h, w)] / total)
-                zero = np.zeros(len(rid))
-                yield from rows_of(_totals(names, rid, log, zero, zero))
-
-    return run
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, held in by_bucket(batches):
-        rid, log, backed, words = _read_totals(held.get(2, []))
-        one, at = np.unique(rid, return_inverse=True)
-        sums = [np.bincount(at, x, len(one)) for x in (log, backed, words)]
-        yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(sums[0]), pa.array(sums[1].astype(np.int64)), pa.array(sums[2].astype(np.int64))], names=["rid", "log", "n_backoff", "n_words"])
+    for batch in batches:
+        for rid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            words = words_of(text.as_py() or b"")
+            if rids and (held + len(words) > at_once or len(rids) >= at_once):
+                yield out()
+                rids, sizes, ids, numbers, held = [], [], [], _Numbers(), 0
+            rids.append(rid)
+            sizes.append(len(words))
+            ids.append(list(map(numbers.__getitem__, words)))
+            held += len(words)
+    if rids:
+        yield out()
+
+
+class Grams:
+    """The grams of a part. Word 0 is the empty one, others are numbered from 1. one, two, three: number of the gram that ends at each
+    place; places hold the two empty words of each text that has words, then its words."""
+
+    def __init__(self, sizes: np.ndarray, flat: np.ndarray, hashes: np.ndarray) -> None:
+        self.text = np.flatnonzero(sizes)
+        size = sizes[self.text]
+        self.of = np.repeat(np.arange(len(size)), size + 2)
+        first = np.cumsum(size + 2) - (size + 2)
+        self.is_word = np.ones(len(self.of), bool)
+        self.is_word[first] = self.is_word[first + 1] = False
+        self.one = np.zeros(len(self.of), np.int64)
+        self.one[self.is_word] = flat.astype(np.int64) + 1
+        self.counts_one = np.bincount(self.one, minlength=len(hashes) + 1)
+        self.counts_one[0] = len(size)
+        self.ends_two = np.ones(len(self.of), bool)
+        self.ends_two[first] = False
+        k = np.flatnonzero(self.ends_two)
+        self.two = np.zeros(len(self.of), np.int64)
+        two, self.two[k], self.counts_two = np.unique(self.one[k - 1] << 32 | self.one[k], return_inverse=True, return_counts=True)
+        k = np.flatnonzero(self.is_word)
+        self.three = np.zeros(len(self.of), np.int64)
+        three, self.three[k], self.counts_three = np.unique(self.two[k - 1] << 32 | self.one[k], return_inverse=True, return_counts=True)
+        low = (1 << 32) - 1
+        w = mixed(np.concatenate((np.array([xxhash.xxh64_intdigest(b"")], np.uint64), hashes)))
+        h2 = mixed(w[two >> 32] * _U(0x9E3779B97F4A7C15) + w[two & low])
+        h3 = mixed(h2[three >> 32] * _U(0xD6E8FEB86659FD93) + w[three & low])
+        self.hashes = np.concatenate((w, h2, h3))
+        self.counts = np.concatenate((self.counts_one, self.counts_two, self.counts_three))
+        self.order = np.argsort(self.hashes)
+
+
+def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
+    return ((hashes >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)
+
+
+def _rows(rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in chain(rows, (None,)):
+        if row is not None:
+            held.append(row)
+            size += len(row[3])
+        if held and (row is None or len(held) >= 64 or size >= 4 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "major", "minor", "block"])
+            held, size = [], 0
+
+
+def _home(rid: int, names: np.ndarray) -> int:
+    return int(names[int(mixed(np.array([rid], np.uint64))[0] % _U(len(names)))])
+
+
+def _asked(names: np.ndarray, ranges: int, at_once: int):
+    """Texts to the grams of each part, by range of the tables: (part, hashes as differences, counts)."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+        for rids, sizes, flat, hashes in parts(batches, at_once):
+            if not len(flat):
+                continue
+            g = Grams(sizes, flat, hashes)
+            h, n = g.hashes[g.order], g.counts[g.order].astype(np.uint32)
+            at = _ranges(h, ranges)
+            edges = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True])))
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                r = int(at[lo])
+                yield int(names[r * len(names) // ranges]), r, 0, pack(rids[:1], np.diff(h[lo:hi], prepend=_U(0)), n[lo:hi])
+
+    return lambda batches: _rows(made(batches))
+
+
+def _answered(names: np.ndarray):
+    """Rows by range to what each part lacks: the counts of its grams in all other parts, in the order that it asked in."""
+
+    def answers(at: int, blocks: list[bytes]) -> Iterator[tuple[int, int, int, bytes]]:
+        asked = [unpack(b, np.int64, np.uint64, np.uint32) for b in blocks]
+        h = np.concatenate([np.cumsum(a[1]) for a in asked])
+        n = np.concatenate([a[2] for a in asked]).astype(np.int64)
+        order = np.argsort(h)
+        new = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+        total = np.empty(len(h), np.int64)
+        total[order] = np.repeat(np.add.reduceat(n[order], new), np.diff(np.append(new, len(h))))
+        others, end = total - n, 0
+        for rid, own, _ in asked:
+            part = others[end : end + len(own)]
+            end += len(own)
+            yield _home(int(rid[0]), names), int(rid[0]), at, pack(part.astype(np.uint32 if part.max() < 1 << 32 else np.uint64), np.zeros(int(part.max() >= 1 << 32), np.uint8))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+        for (_, at), blocks in _grouped(batches):
+            yield from answers(at, [b for _, b in blocks])
+
+    return lambda batches: _rows(made(batches))
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[tuple[int, bytes]]]]:
+    """((bucket, major), [(minor, block)]) of sorted rows."""
+    now, held = None, []
+    for batch in batches:
+        for bucket, major, minor, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (bucket, major) != now:
+                if held:
+                    yield now, held
+                now, held = (bucket, major), []
+            held.append((minor, block))
+    if held:
+        yield now, held
+
+
+def _texts(names: np.ndarray, at_once: int):
+    """Texts to parts as word numbers, for where their answers go; they come before these."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+        for rids, sizes, flat, hashes in parts(batches, at_once):
+            yield _home(int(rids[0]), names), int(rids[0]), -1, pack(np.diff(rids, prepend=rids[:1]), sizes, flat, hashes)
+
+    return lambda batches: _rows(made(batches))
+
+
+def _within(ids: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """How often each place's gram occurs in its text."""
+    _, at, n = np.unique(of << 32 | ids, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def _sums(first: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    rids, sizes, flat, hashes = unpack(rows[0][1], np.int64, np.int64, np.uint32, np.uint64)
+    log, words, backed = np.zeros(len(sizes)), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    if len(flat):
+        g = Grams(sizes, flat, hashes)
+        others = []
+        for _, raw in rows[1:]:
+            wide = int(np.frombuffer(raw, np.uint32, 2)[1])
+            others.append(unpack(raw, np.uint64 if wide else np.uint32, np.uint8)[0].astype(np.int64))
+        total = g.counts.astype(np.int64)
+        total[g.order] += np.concatenate(others)
+        one, two, three = np.split(total, np.cumsum((len(g.counts_one), len(g.counts_two))))
+        k = np.flatnonzero(g.is_word)
+        of = g.of[k]
+        # counts in all other texts: those of all less those of this one
+        c1 = one[g.one]
+        c1[k] -= _within(g.one[k], of)
+        c1[~g.is_word] -= 1
+        c2, ends = two[g.two], np.flatnonzero(g.ends_two)
+        c2[ends] -= _within(g.two[ends], g.of[ends])
+        c3 = three[g.three[k]] - _within(g.three[k], of)
+        after, pair, context = c2[k - 1], c2[k], c1[k - 1]
+        value = np.where(c3 > 0, c3 / np.maximum(after, 1), np.where(pair > 0, ALPHA * pair / np.maximum(context, 1), ALPHA**2 * np.maximum(c1[k], 1)))
+        n = len(g.text)
+        log[g.text] = np.bincount(of, np.log(value), n)
+        backed[g.text] = np.bincount(of, c3 == 0, n).astype(np.int64)
+        words[g.text] = np.bincount(of, (c3 == 0) & (pair == 0), n).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.cumsum(rids) + first), pa.array(log), pa.array(sizes), pa.array(backed), pa.array(words)], names=["rid", "log", "n_words", "n_backoff", "n_single"])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (_, first), rows in _grouped(batches):
+        yield _sums(first, rows)
+
+
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "major", "minor")
 
 
 def scored(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, n_backoff (words whose pair was seen fewer than SEEN times) and lm_score.
+    """docs with n_words, n_backoff (words whose triple no other row has) and lm_score.
 
-    Texts are read whole; counts are over all rows, repeated ones included. Null, empty and blank texts have no words and a null score. An
+    Texts are read whole; counts are over all rows, so that of repeated rows each is among the others' texts. Null, empty and blank texts have no words
+    and a null score; the words of a table's only text all count as seen once, of one word. Memory of a task grows with its longest text, about 200 bytes a word. An
     empty table gives an empty table; columns that clash with the new ones are replaced."""
     spark = docs.sparkSession
     bounded_batches(spark)
     clean = stable(without(docs, ["n_words", "n_backoff", "lm_score", "__rid"])).withColumn("__rid", F.monotonically_increasing_id())
-    texts = clean.select("__rid", F.col(text_col).cast("string").cast("binary").alias("t"))
-    counts = staged(texts.mapInArrow(_count, "h bigint, n bigint, starts bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("starts").alias("starts")), "word-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    top = sorted((r.h % (1 << 64), r.n, r.starts) for r in counts.where(F.greatest("n", "starts") * HEAVY > total).collect())  # HEAVY rows twice at most
-    heavy, n, starts = np.array([r[0] for r in top], np.uint64), np.array([r[1] for r in top], np.int64), np.array([r[2] for r in top], np.int64)
+    texts = clean.select("__rid", F.col(f"`{text_col}`").cast("string").cast("binary").alias("t"))
     names = labels(spark)
-    pairs = texts.mapInArrow(_pairs(names, heavy), SCHEMA)
-    first = dealt(pairs, len(names)).mapInArrow(_scored(names, heavy, n, starts, total), SCHEMA)
-    second = dealt(first.union(counts.where("n > 0").select("h", "n").mapInArrow(_table(names), SCHEMA)), len(names)).mapInArrow(_backed(names, total), SCHEMA)
-    sums = dealt(second, len(names)).mapInArrow(_summed, "rid bigint, log double, n_backoff bigint, n_words bigint")
-    named = clean.join(sums, F.col("__rid") == F.col("rid"))
-    return named.withColumn("lm_score", F.when(F.col("n_words") > 0, F.round(F.col("log") / F.col("n_words"), 6))).drop("__rid", "rid", "log")
+    n = len(names)
+    ranges = n * -(-RANGES // n)
+    answers = _dealt(texts.mapInArrow(_asked(names, ranges, AT_ONCE), _ROWS), n).mapInArrow(_answered(names), _ROWS)
+    both = _dealt(answers.union(texts.mapInArrow(_texts(names, AT_ONCE), _ROWS)), n)
+    sums = staged(both.mapInArrow(_met, "rid bigint, log double, n_words bigint, n_backoff bigint, n_single bigint"), "lm-sums")
+    total = sums.agg(F.sum("n_words")).first()[0] or 0
+    rest = F.greatest(F.lit(total) - F.col("n_words"), F.lit(1))
+    mean = F.round((F.col("log") - F.col("n_single") * F.log(rest)) / F.col("n_words"), 6)
+    named = clean.join(sums.withColumn("lm_score", F.when(F.col("n_words") > 0, mean)), F.col("__rid") == F.col("rid"))
+    return named.select(*[F.col(f"`{c}`") for c in clean.columns if c != "__rid"], "n_words", "n_backoff", "lm_score")
 
 
 SQL = r"""
 with d as (select row_number() over () as rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
-p as (select rid, unnest(list_prepend('', w[:-2])) as v, unnest(w) as w from d where len(w) > 0),
-vw as (select v, w, count(*) as c from p group by v, w),
-cv as (select v, sum(c) as c from vw group by v),
-cw as (select w, count(*) as c from p group by w),
-n as (select count(*) as n from p),
-s as (select v, w, vw.c >= 2 as kept, case when vw.c >= 2 then ln(vw.c::double / cv.c::double) else ln(0.4::double * cw.c::double / n.n::double) end as l from vw join cv using (v) join cw using (w), n),
-t as (select rid, sum(l) as l, count(*) filter (not kept) as b, count(*) as n from p join s using (v, w) group by rid)
+p as (select rid, unnest(list_concat(['', ''], w)[:-3]) as u, unnest(list_prepend('', w)[:-2]) as v, unnest(w) as w from d where len(w) > 0),
+g as (select rid, w as x, null as y, null as z from p union all select rid, v, w, null from p union all select rid, u, v, w from p
+  union all select rid, '', null, null from d where len(w) > 0 union all select rid, '', '', null from d where len(w) > 0),
+own as (select rid, x, y, z, count(*) as n from g group by all),
+c as (select rid, x, y, z, sum(n) over (partition by x, y, z) - n as n from own),
+n as (select count(*) as n from p), size as (select rid, count(*) as n from p group by rid),
+s as (select p.rid, case when c3.n > 0 then ln(c3.n::double / c2.n::double) when b2.n > 0 then ln(0.4::double * b2.n::double / b1.n::double) else ln(0.4::double * 0.4::double * greatest(c1.n, 1)::double / greatest(n.n - size.n, 1)::double) end as l, c3.n = 0 as backed
+  from p, n join size on size.rid = p.rid
+  join c c3 on c3.rid = p.rid and c3.x = u and c3.y = v and c3.z = w
+  join c c2 on c2.rid = p.rid and c2.x = u and c2.y = v and c2.z is null
+  join c b2 on b2.rid = p.rid and b2.x = v and b2.y = w and b2.z is null
+  join c b1 on b1.rid = p.rid and b1.x = v and b1.y is null
+  join c c1 on c1.rid = p.rid and c1.x = w and c1.y is null),
+t as (select rid, sum(l) as l, count(*) filter (backed) as b, count(*) as n from s group by rid)
 select doc_id, coalesce(n, 0)::bigint as n_words, coalesce(b, 0)::bigint as n_backoff, round(l / n, 6) as lm_score from d left join t using (rid)
 """
