@@ -20,16 +20,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .blocks import labels, mixed, pack, unpack
+from .blocks import RANGES, SCHEMA, Row, batched, dealt, edges_of, grouped, labels, mixed, n_ranges, own_bucket, pack, range_bucket, ranged, unpack
 from .common import bounded_batches, stable, staged, without
 
 ALPHA = 0.4
 #: Words that a part takes together; a longer text is a part of its own.
 AT_ONCE = 1_200_000
-#: The tables have so many ranges at least; a task holds one at a time.
-RANGES = 512
-#: bucket: where a row goes; major, minor: its order there.
-_ROWS = "bucket int, major bigint, minor int, block binary"
 _U = np.uint64
 
 
@@ -97,47 +93,28 @@ class Grams:
         self.order = np.argsort(self.hashes)
 
 
-def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
-    return ((hashes >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)
-
-
-def _rows(rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for row in chain(rows, (None,)):
-        if row is not None:
-            held.append(row)
-            size += len(row[3])
-        if held and (row is None or len(held) >= 64 or size >= 4 << 20):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "major", "minor", "block"])
-            held, size = [], 0
-
-
-def _home(rid: int, names: np.ndarray) -> int:
-    return int(names[int(mixed(np.array([rid], np.uint64))[0] % _U(len(names)))])
-
-
 def _asked(names: np.ndarray, ranges: int, at_once: int):
     """Texts to the grams of each part, by range of the tables: (part, hashes as differences, counts)."""
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[Row]:
         for rids, sizes, flat, hashes in parts(batches, at_once):
             if not len(flat):
                 continue
             g = Grams(sizes, flat, hashes)
             h, n = g.hashes[g.order], g.counts[g.order].astype(np.uint32)
-            at = _ranges(h, ranges)
-            edges = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True])))
+            at = ranged(h, ranges)
+            edges = edges_of(at)
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 r = int(at[lo])
-                yield int(names[r * len(names) // ranges]), r, 0, pack(rids[:1], np.diff(h[lo:hi], prepend=_U(0)), n[lo:hi])
+                yield range_bucket(names, ranges, r), r, 0, pack(rids[:1], np.diff(h[lo:hi], prepend=_U(0)), n[lo:hi])
 
-    return lambda batches: _rows(made(batches))
+    return lambda batches: batched(made(batches))
 
 
 def _answered(names: np.ndarray):
     """Rows by range to what each part lacks: the counts of its grams in all other parts, in the order that it asked in."""
 
-    def answers(at: int, blocks: list[bytes]) -> Iterator[tuple[int, int, int, bytes]]:
+    def answers(at: int, blocks: list[bytes]) -> Iterator[Row]:
         asked = [unpack(b, np.int64, np.uint64, np.uint32) for b in blocks]
         h = np.concatenate([np.cumsum(a[1]) for a in asked])
         n = np.concatenate([a[2] for a in asked]).astype(np.int64)
@@ -149,37 +126,23 @@ def _answered(names: np.ndarray):
         for rid, own, _ in asked:
             part = others[end : end + len(own)]
             end += len(own)
-            yield _home(int(rid[0]), names), int(rid[0]), at, pack(part.astype(np.uint32 if part.max() < 1 << 32 else np.uint64), np.zeros(int(part.max() >= 1 << 32), np.uint8))
+            yield own_bucket(names, int(rid[0])), int(rid[0]), at, pack(part.astype(np.uint32 if part.max() < 1 << 32 else np.uint64), np.zeros(int(part.max() >= 1 << 32), np.uint8))
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
-        for (_, at), blocks in _grouped(batches):
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[Row]:
+        for at, blocks in grouped(batches):
             yield from answers(at, [b for _, b in blocks])
 
-    return lambda batches: _rows(made(batches))
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[tuple[int, bytes]]]]:
-    """((bucket, major), [(minor, block)]) of sorted rows."""
-    now, held = None, []
-    for batch in batches:
-        for bucket, major, minor, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (bucket, major) != now:
-                if held:
-                    yield now, held
-                now, held = (bucket, major), []
-            held.append((minor, block))
-    if held:
-        yield now, held
+    return lambda batches: batched(made(batches))
 
 
 def _texts(names: np.ndarray, at_once: int):
     """Texts to parts as word numbers, for where their answers go; they come before these."""
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[Row]:
         for rids, sizes, flat, hashes in parts(batches, at_once):
-            yield _home(int(rids[0]), names), int(rids[0]), -1, pack(np.diff(rids, prepend=rids[:1]), sizes, flat, hashes)
+            yield own_bucket(names, int(rids[0])), int(rids[0]), -1, pack(np.diff(rids, prepend=rids[:1]), sizes, flat, hashes)
 
-    return lambda batches: _rows(made(batches))
+    return lambda batches: batched(made(batches))
 
 
 def _within(ids: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -219,14 +182,10 @@ def _sums(first: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (_, first), rows in _grouped(batches):
+    for first, rows in grouped(batches):
         yield _sums(first, rows)
 
 
-def _dealt(rows: DataFrame, n: int) -> DataFrame:
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "major", "minor")
-
-
 def scored(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, n_backoff (words whose triple no other row has) and lm_score.
 
@@ -238,10 +197,9 @@ def scored(docs: DataFrame, text_col: str = "text") -> DataFrame:
     clean = stable(without(docs, ["n_words", "n_backoff", "lm_score", "__rid"])).withColumn("__rid", F.monotonically_increasing_id())
     texts = clean.select("__rid", F.col(f"`{text_col}`").cast("string").cast("binary").alias("t"))
     names = labels(spark)
-    n = len(names)
-    ranges = n * -(-RANGES // n)
-    answers = _dealt(texts.mapInArrow(_asked(names, ranges, AT_ONCE), _ROWS), n).mapInArrow(_answered(names), _ROWS)
-    both = _dealt(answers.union(texts.mapInArrow(_texts(names, AT_ONCE), _ROWS)), n)
+    n, ranges = len(names), n_ranges(names, RANGES)
+    answers = dealt(texts.mapInArrow(_asked(names, ranges, AT_ONCE), SCHEMA), n).mapInArrow(_answered(names), SCHEMA)
+    both = dealt(answers.union(texts.mapInArrow(_texts(names, AT_ONCE), SCHEMA)), n)
     sums = staged(both.mapInArrow(_met, "rid bigint, log double, n_words bigint, n_backoff bigint, n_single bigint"), "lm-sums")
     total = sums.agg(F.sum("n_words")).first()[0] or 0
     rest = F.greatest(F.lit(total) - F.col("n_words"), F.lit(1))

@@ -1,17 +1,22 @@
-"""Rows packed into blocks: one Spark row (bucket, kind, block) holds many small rows that go to the same bucket.
+"""Rows packed into blocks: one Spark row (bucket, major, minor, block) holds many small rows that go to the same place.
 
-A shuffle of hashes costs a tenth of what it costs as rows, and a bucket's blocks are taken apart, sorted and merged by numpy. Buckets
-are as many as shuffle partitions, and are labelled so that each falls into a partition of its own."""
+A shuffle of hashes costs a tenth of what it costs as rows, and blocks are taken apart, sorted and merged by numpy. Buckets
+are as many as shuffle partitions, and are labelled so that each falls into a partition of its own; there, rows come in the order
+of major and minor, and a task holds those of one major value at a time."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-SCHEMA = "bucket int, kind int, block binary"
+SCHEMA = "bucket int, major bigint, minor int, block binary"
+#: Hashes are cut into so many ranges at least, whatever the number of partitions.
+RANGES = 512
+Row = tuple[int, int, int, bytes]
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -30,11 +35,6 @@ def unpack(raw: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def merged(blocks: list[bytes], *kinds: type) -> list[np.ndarray]:
-    parts = [unpack(b, *kinds) for b in blocks]
-    return [np.concatenate([np.empty(0, k), *(p[i] for p in parts)]) for i, k in enumerate(kinds)]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """uint64 to well-mixed uint64, one to one."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -50,40 +50,68 @@ def labels(spark: SparkSession) -> np.ndarray:
     return np.array([of.get(p, p) for p in range(n)], np.int64)
 
 
-def dealt(rows: DataFrame, n: int) -> DataFrame:
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket")
+def n_ranges(names: np.ndarray, least: int = RANGES) -> int:
+    """How many ranges of hashes: a multiple of the buckets."""
+    return len(names) * -(-least // len(names))
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]]]]:
-    """(bucket, blocks by kind) of rows sorted by bucket."""
-    now, held = None, {}
-    for batch in batches:
-        for bucket, kind, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if bucket != now:
-                if held:
-                    yield now, held
-                now, held = bucket, {}
-            held.setdefault(kind, []).append(block)
-    if held:
-        yield now, held
+def ranged(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each hash, in the hashes' order."""
+    return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def range_bucket(names: np.ndarray, ranges: int, at: int) -> int:
+    return int(names[at * len(names) // ranges])
+
+
+def own_bucket(names: np.ndarray, key: int) -> int:
+    return int(names[int(mixed(np.array([key], np.int64).view(np.uint64))[0] % np.uint64(len(names)))])
+
 
+def edges_of(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True]))) if len(values) else np.zeros(1, np.int64)
 
-def sent(names: np.ndarray, bucket: np.ndarray, kind: int, *arrays: np.ndarray, step: int | None = None) -> list[tuple[int, int, bytes]]:
-    """Rows of SCHEMA: the arrays cut by bucket, each cut in the order given. step: the array to send as differences."""
-    order = np.argsort(bucket, kind="stable")
-    b = bucket[order]
-    edges = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1], [True]))) if len(b) else np.zeros(1, np.int64)
-    cut = [a[order] for a in arrays]
-    out = []
+
+def sent(names: np.ndarray, ranges: int, hashes: np.ndarray, minor: int, *arrays: np.ndarray, step: int | None = None) -> Iterator[Row]:
+    """Rows of SCHEMA: the arrays cut by range of the hashes, each cut in the order given. step: the array to send as differences."""
+    at = ranged(hashes, ranges)
+    order = np.argsort(at, kind="stable")
+    at, cut = at[order], [a[order] for a in arrays]
+    edges = edges_of(at)
     for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         parts = [a[lo:hi] for a in cut]
         if step is not None:
             parts[step] = np.diff(parts[step], prepend=parts[step].dtype.type(0))
-        out.append((int(names[int(b[lo])]), kind, pack(*parts)))
-    return out
+        r = int(at[lo])
+        yield range_bucket(names, ranges, r), r, minor, pack(*parts)
+
+
+def batched(rows: Iterator[Row]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in chain(rows, (None,)):
+        if row is not None:
+            held.append(row)
+            size += len(row[3])
+        if held and (row is None or len(held) >= 64 or size >= 4 << 20):
+            columns = zip(zip(*held, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names=["bucket", "major", "minor", "block"])
+            held, size = [], 0
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "major", "minor")
 
 
-def rows_of(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(rows), 64):
-        b, k, x = zip(*rows[at : at + 64], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(x, pa.binary())], names=["bucket", "kind", "block"])
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """(major, [(minor, block)]) of dealt rows."""
+    now, held = None, []
+    for batch in batches:
+        for bucket, major, minor, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (bucket, major) != now:
+                if held:
+                    yield now[1], held
+                now, held = (bucket, major), []
+            held.append((minor, block))
+    if held:
+        yield now[1], held

@@ -39,13 +39,49 @@ def corpus(seed, length):
     return texts + texts[10:14] + ["".join(shared) * 2]
 
 
-@pytest.mark.parametrize("seed, length, piece", [(1, 200, 1 << 19), (2, 20, 1 << 19), (3, 31, 50), (4, 200, 333), (5, 3, 7)])
-def test_like_plain_python(spark, monkeypatch, seed, length, piece):
+@pytest.mark.parametrize("seed, length, piece, shard, wide", [(1, 200, 1 << 19, 4 << 20, 8 << 20), (2, 20, 1 << 19, 100, 8 << 20), (3, 31, 50, 1, 0), (4, 200, 333, 4 << 20, 0), (5, 3, 7, 1 << 20, 1 << 20)])
+def test_like_plain_python(spark, monkeypatch, seed, length, piece, shard, wide):
+    """Names are indexed many together, each alone, and (wide 0) the largest of them by their windows."""
     monkeypatch.setattr(L, "PIECE", piece)
     monkeypatch.setattr(L, "AT_ONCE", 300)
+    monkeypatch.setattr(L, "SHARD", shard)
+    monkeypatch.setattr(L, "WIDE", wide)
     texts = corpus(seed, length)
     df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, n_spans int").repartition(3)
     rows = sorted(L.remove_repeats(df, length=length).collect(), key=lambda r: r.doc_id)
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == plain(texts, length)
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in rows)
     assert L.remove_repeats(df.limit(0), length=length).count() == 0
+
+
+def test_run_index():
+    """The transform, its runs and its samples against suffixes that are sorted as a whole; matches against a dictionary."""
+    rng = random.Random(6)
+    for case in range(60):
+        base = bytes(rng.choices(b"ab\0", k=rng.randrange(1, 40)))
+        texts = [base[rng.randrange(len(base)) :] * rng.randrange(1, 4) + bytes(rng.choices(b"abc", k=rng.randrange(6))) for _ in range(rng.randrange(1, 8))]
+        index = L.RunIndex(texts)
+        # (suffix, text): a text's end is less than any byte, and of equal suffixes that of the earlier text comes first
+        every = sorted(((t[i:], k, i) for k, t in enumerate(texts) for i in range(len(t) + 1)), key=lambda x: x[:2])
+        symbols = [texts[k][i - 1] + 1 if i else 0 for _, k, i in every]
+        runs = [j for j in range(len(every)) if not j or symbols[j] != symbols[j - 1] or not symbols[j]]
+        assert index.symbols.tolist() == [symbols[j] for j in runs]
+        assert index.heads.tolist() == [index.starts[every[j][1]] + every[j][2] for j in runs]
+        for length in (1, 3, 9):
+            seen = {}
+            for k, t in enumerate(texts):
+                for i in range(len(t) - length + 1):
+                    seen.setdefault(t[i : i + length], []).append((k, i))
+            want = sorted(p for held in seen.values() if len(held) > 1 for p in held)
+            text, first, n = L.repeated_spans(texts, length)
+            assert sorted((int(k), int(a) + j) for k, a, m in zip(text, first, n, strict=True) for j in range(m)) == want, case
+
+
+def test_long_texts_and_nulls(spark):
+    rng = random.Random(8)
+    word = lambda n: bytes(rng.choices(b"abcdefgh ", k=n)).decode()
+    shared = word(5000)
+    texts = [None, "", word(1_500_000) + shared + word(10), shared[3:] + "z", shared[:-2] * 2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(L.remove_repeats(df).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == plain(texts, 200)
