@@ -25,7 +25,7 @@ from .common import bounded_batches, stable, staged, without
 
 ALPHA = 0.4
 #: Words that a part takes together; a longer text is a part of its own.
-AT_ONCE = 1_200_000
+AT_ONCE = 1_500_000
 _U = np.uint64
 
 
@@ -126,7 +126,7 @@ def _answered(names: np.ndarray):
         for rid, own, _ in asked:
             part = others[end : end + len(own)]
             end += len(own)
-            yield own_bucket(names, int(rid[0])), int(rid[0]), at, pack(part.astype(np.uint32 if part.max() < 1 << 32 else np.uint64), np.zeros(int(part.max() >= 1 << 32), np.uint8))
+            yield own_bucket(names, int(rid[0])), int(rid[0]), at, pack(part)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[Row]:
         for at, blocks in grouped(batches):
@@ -156,12 +156,8 @@ def _sums(first: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     log, words, backed = np.zeros(len(sizes)), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
     if len(flat):
         g = Grams(sizes, flat, hashes)
-        others = []
-        for _, raw in rows[1:]:
-            wide = int(np.frombuffer(raw, np.uint32, 2)[1])
-            others.append(unpack(raw, np.uint64 if wide else np.uint32, np.uint8)[0].astype(np.int64))
         total = g.counts.astype(np.int64)
-        total[g.order] += np.concatenate(others)
+        total[g.order] += np.concatenate([unpack(raw, np.int64)[0] for _, raw in rows[1:]])
         one, two, three = np.split(total, np.cumsum((len(g.counts_one), len(g.counts_two))))
         k = np.flatnonzero(g.is_word)
         of = g.of[k]
