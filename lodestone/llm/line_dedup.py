@@ -1,24 +1,26 @@
-"""Repeated runs of lines: later copies are deleted.
+"""Repeated runs of lines, by a suffix array over line numbers: later copies are deleted.
 
-A text is the sequence of its lines that aren't blank, each line under a 128-bit name (two hashes). Prefix doubling over all these
-sequences at once gives every position the name of the run of 1, 2, 4, ... lines that starts there, from the names of two shorter
-runs; names serve as ranks, since only equality matters: positions with the same name are an interval of the suffix array
-whose longest common prefix has at least that many lines. A run of LINES or more lines that repeats is, at each of its
-positions, such an interval at depth LINES, so the doubling stops there and every maximal repeated run of LINES or more lines is
-covered. In each interval the first position, by document id, stays; the lines of all others are deleted.
+A text is the sequence of its lines that aren't blank, each line under a 128-bit name (two hashes). Distributed prefix doubling sorts
+all suffixes of all these sequences by ever longer prefixes: a position's rank among the prefixes of twice as many lines comes from the pair of its own rank and
+that of the position so many lines later in its text. Ranks are numbers of the sorted distinct pairs, so they keep the suffixes' order. Positions of one rank are an interval of the suffix array whose
+longest common prefix has at least that many lines; intervals of one position are left out, and so is what follows from them, until none is
+left. In each interval of LINES or more lines the first position, by document id, stays; the runs of all others are later copies. Their union in
+each text, with runs that meet or overlap as one, is deleted, so every maximal repeated run is, however long.
 
 A shorter repeated run stays, unless a least length is given for single lines: then a line of so many words is a run of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE, let, staged, without, words_of
+from .common import SPACE, let, stable, staged, without, words_of
 
 LINES = 2
 #: Words from which the pipeline takes a single line for a run.
 LONG = 50
+#: An interval with over 1/HEAVY of all positions, of which there are HEAVY at most, meets its positions by broadcast.
+HEAVY = 4096
 
 
 def _numbered(text: Column) -> Column:
@@ -27,64 +29,84 @@ def _numbered(text: Column) -> Column:
     return F.filter(every, lambda s: s["x"].rlike(f"[^{SPACE}]"))
 
 
-def _names(lines: Column, size: int, seed: str) -> Column:
-    """Names of the runs of size lines, by the place of their first line; doubled from runs of one line."""
-
-    def longer(names: Column, have: int) -> Column:
-        if have == size:
-            return names
-        step = min(have, size - have)  # the last step overlaps where size is no power of two
-        made = let(names, lambda a: F.when(F.size(a) > step, F.transform(F.slice(a, 1, F.size(a) - step), lambda n, i: F.xxhash64(n, F.get(a, i + step)))).otherwise(F.array().cast("array<bigint>")))
-        return longer(made, have + step)
-
-    return longer(F.transform(lines, lambda s: F.xxhash64(F.lit(seed), s["x"])), 1)
-
-
-def _long(lines: Column, least: int) -> Column:
-    """(a, b, i, span) of the lines of least or more words, as runs of one line."""
-    numbered = F.transform(lines, lambda s, i: F.struct(s["x"].alias("x"), i.alias("i")))
-    found = F.filter(numbered, lambda s: (F.length(s["x"]) >= 2 * least - 1) & (F.size(words_of(s["x"])) >= least))
-    return F.transform(found, lambda s: F.struct(F.xxhash64(F.lit("a"), s["x"]).alias("a"), F.xxhash64(F.lit("b"), s["x"]).alias("b"), s["i"].alias("i"), F.lit(1).alias("span")))
-
-
-def repeated(docs: DataFrame, size: int, long: int | None = None) -> DataFrame:
-    """docs: __rid, __order, __lines. (__rid, __gone): ordinals of the lines to delete, in order, for rows that have any."""
-    lines = F.col("__lines")
-    zipped = F.arrays_zip(_names(lines, size, "a").alias("a"), _names(lines, size, "b").alias("b"))
-    every = F.transform(zipped, lambda r, i: F.struct(r["a"].alias("a"), r["b"].alias("b"), i.alias("i"), F.lit(size).alias("span")))
-    if long is not None:
-        every = F.concat(every, _long(lines, long))
-    runs = docs.select("__rid", "__order", F.explode(every).alias("r")).select("__rid", "__order", "r.*")
-    first = runs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("__order", "__rid", "i")).alias("first")).where("n > 1").select("a", "b", "first")
-    later = runs.join(first, ["a", "b"]).where(F.struct("__order", "__rid", "i") > F.col("first"))
-    # of a row's many overlapping runs only the starts are gathered: at most two for each of its lines
-    starts = later.groupBy("__rid").agg(F.collect_list(F.struct("i", "span")).alias("s"))
-    return starts.select("__rid", F.array_sort(F.array_distinct(F.flatten(F.transform("s", lambda r: F.sequence(r["i"], r["i"] + r["span"] - 1))))).alias("__gone"))
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = LINES, long: int | None = None) -> DataFrame:
-    """docs with the later copies of repeated runs of size or more lines, and of single lines of long or more words, deleted from the texts, and with n_lines (lines that aren't
-    blank), n_removed and n_runs (maximal deleted runs).
+def _positions(docs: DataFrame, long: int | None) -> DataFrame:
+    """docs: __rid, __order, __lines. __at (order, row, ordinal of the line), the line's name and whether it is long."""
+    is_long = F.lit(False) if long is None else (F.length("x") >= 2 * long - 1) & (F.size(words_of(F.col("x"))) >= long)
+    every = docs.select("__rid", "__order", F.posexplode(F.transform("__lines", lambda s: s["x"])).alias("i", "x"))
+    return every.select(F.struct("__order", "__rid", "i").alias("__at"), F.xxhash64(F.lit("a"), "x").alias("k1"), F.xxhash64(F.lit("b"), "x").alias("k2"), is_long.alias("long"))
+
+
+def _ranked(positions: DataFrame) -> tuple[DataFrame, int]:
+    """positions: __at, k1, k2, long. Those whose pair of keys occurs twice or more, with its rank and whether a position before has it, too; and how many."""
+    intervals = positions.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("__at").alias("first")).where("n > 1")
+    intervals = intervals.repartitionByRange("k1", "k2").sortWithinPartitions("k1", "k2").withColumn("rank", F.monotonically_increasing_id())
+    intervals = staged(intervals, "line-intervals")
+    total = intervals.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return positions.limit(0), 0
+    found = F.struct("rank", "first").alias("found")
+    heavy = intervals.where(F.col("n") * HEAVY > total).select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), found)
+    light = intervals.where(F.col("n") * HEAVY <= total).select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.lit(False).alias("l3"), found.alias("own"))
+    met = positions.join(F.broadcast(heavy), (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left")
+    known = F.col("found").isNotNull()
+    # positions of heavy intervals are dealt out evenly and meet nothing
+    spread = [F.when(known, F.xxhash64(F.lit(k), "__at")).otherwise(F.col(k)).alias(k) for k in ("k1", "k2")]
+    met = met.select("__at", "long", "found", *spread, known.alias("k3"))
+    met = met.join(light, (F.col("k1") == F.col("l1")) & (F.col("k2") == F.col("l2")) & (F.col("k3") == F.col("l3")), "left")
+    both = met.select("__at", "long", F.coalesce("found", "own").alias("f")).where("f is not null")
+    return staged(both.select("__at", "long", F.col("f.rank").alias("rank"), (F.col("__at") > F.col("f.first")).alias("later")), "line-ranks"), total
+
+
+def later_copies(positions: DataFrame, size: int, single: bool) -> DataFrame:
+    """(__rid, i, span): runs of span lines from line i that occur before. positions as from _positions; single: also long lines by themselves."""
+    active, n = _ranked(positions)
+    runs, have = [], 1
+    if n and (size == 1 or single):
+        runs.append(active.where("later" if size == 1 else "later and long").select("__at", F.lit(1).alias("span")))
+    while n:
+        step = have if have >= size else min(have, size - have)  # the last step to size overlaps where size is no power of two
+        after = Window.partitionBy("__at.__rid").orderBy("__at.i").rangeBetween(step, step)
+        pairs = active.select("__at", F.col("rank").alias("k1"), F.first("rank").over(after).alias("k2"), "long").where("k2 is not null")
+        active, n = _ranked(pairs)
+        have += step
+        if n and have >= size:
+            runs.append(active.where("later").select("__at", F.lit(have).alias("span")))
+    every = positions.select("__at", F.lit(1).alias("span")).limit(0)
+    for r in runs:
+        every = every.union(r)
+    return every.select("__at.__rid", "__at.i", "span")
+
+
+def merged(runs: DataFrame) -> DataFrame:
+    """(__rid, __runs: sorted array of (lo, hi)) of runs (__rid, i, span), those of a row that meet or overlap as one."""
+    w = Window.partitionBy("__rid").orderBy("i", "span")
+    ends = runs.withColumn("end", F.col("i") + F.col("span")).withColumn("before", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    parts = ends.withColumn("part", F.sum(F.when(F.col("i") <= F.col("before"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    one = parts.groupBy("__rid", "part").agg(F.min("i").alias("lo"), F.max("end").alias("hi"))
+    return one.groupBy("__rid").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("__runs"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = LINES, long: int | None = None, counts: bool = True) -> DataFrame:
+    """docs with the later copies of repeated runs of size or more lines, and of single lines of long or more words, deleted from the texts; if counts, with
+    n_lines (lines that aren't blank), n_removed and n_runs (maximal deleted runs), which replace columns that clash with them.
 
     Lines are equal if all their characters are. "Later" is by id (null ids last), then by row, then by place, so copies within one
     text count, too, and of repeated rows the first keeps its lines. Blank lines stay where they are; a text that
-    loses all its other lines becomes empty; a null text stays null and has no lines. Columns that clash with the new ones are replaced;
-    an empty table gives an empty table."""
-    clean = without(docs, ["n_lines", "n_removed", "n_runs", "__rid", "__gone", "__order", "__lines", "__all"])
-    # row ids must be the same in both uses of the table
-    rows = staged(clean.withColumn("__rid", F.monotonically_increasing_id()), "lines")
-    order = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"))
-    gone = repeated(rows.select("__rid", order.alias("__order"), _numbered(F.col(text_col)).alias("__lines")), size, long)
-    joined = rows.join(gone, "__rid", "left").withColumn("__lines", _numbered(F.col(text_col)))
-    n, removed = F.size("__lines"), F.coalesce(F.size("__gone"), F.lit(0))
-    every = F.split(text_col, "\n")
-    left = F.array_except(F.transform(every, lambda x, i: i), F.transform("__gone", lambda o: F.get(F.col("__lines"), o)["at"]))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).when(removed == n, F.lit("")).otherwise(let(every, lambda a: F.array_join(F.transform(left, lambda i: F.get(a, i)), "\n")))
-    parts = F.coalesce(F.size(F.filter("__gone", lambda o, i: (i == 0) | (F.get(F.col("__gone"), i - 1) != o - 1))), F.lit(0))
-    return joined.select(
-        *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in clean.columns],
-        n.cast("long").alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"), F.when(F.col("__gone").isNull(), 0).otherwise(parts).cast("long").alias("n_runs"),
-    )
+    loses all its other lines becomes empty; a null text stays null and has no lines; texts are read whole. An empty table gives an empty table."""
+    clean = stable(without(docs, ["n_lines", "n_removed", "n_runs"] if counts else []))
+    own = [f"`{c}`" for c in clean.columns]
+    rows = clean.select(F.struct(*own).alias("__row"), F.col(f"`{text_col}`").cast("string").alias("__text"), F.col(f"`{id_col}`").alias("__id"), F.monotonically_increasing_id().alias("__rid"))
+    order = F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"))
+    positions = _positions(rows.select("__rid", order.alias("__order"), _numbered(F.col("__text")).alias("__lines")), long)
+    gone = merged(later_copies(positions, size, long is not None))
+    joined = rows.join(gone.withColumnRenamed("__rid", "__gone_rid"), F.col("__rid") == F.col("__gone_rid"), "left").withColumn("__lines", _numbered(F.col("__text")))
+    ordinals = F.flatten(F.transform("__runs", lambda r: F.sequence(r["lo"], r["hi"] - 1)))
+    n, removed = F.size("__lines"), F.aggregate("__runs", F.lit(0), lambda k, r: k + r["hi"] - r["lo"])
+    every = F.split("__text", "\n")
+    left = F.array_except(F.transform(every, lambda x, i: i), F.transform(ordinals, lambda o: F.get(F.col("__lines"), o)["at"]))
+    text = F.when(F.col("__runs").isNull(), F.col("__text")).when(removed == n, F.lit("")).otherwise(let(every, lambda a: F.array_join(F.transform(left, lambda i: F.get(a, i)), "\n")))
+    made = [n.cast("long").alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.when(F.col("__runs").isNotNull(), F.size("__runs")), F.lit(0)).cast("long").alias("n_runs")]
+    return joined.select(*[text.alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in clean.columns], *(made if counts else []))
 
 
 SQL = r"""

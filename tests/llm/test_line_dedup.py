@@ -32,10 +32,11 @@ def rows_for(seed):
     return rows + [(100, None), (101, ""), (102, "a\nb\ncc"), (103, "same\nsame\nsame\nsame"), (104, "x\r\ny")]
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 5])
-def test_like_plain_python(spark, size):
+@pytest.mark.parametrize("size, heavy", [(1, 4096), (2, 20), (3, 1), (5, 4096)])
+def test_like_plain_python(spark, monkeypatch, size, heavy):
     rows = rows_for(size) + [(None, "a\nb\ncc"), (7, "q\nr"), (7, "q\nr")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, N_Lines int").coalesce(1)
+    monkeypatch.setattr(L, "HEAVY", heavy)
     out = L.deduplicate(df, size=size)
     got = [(r.doc_id, r.text, r.n_lines, r.n_removed, r.n_runs) for r in out.collect()]
     assert sorted(got, key=str) == sorted(plain(rows, size), key=str)
@@ -90,3 +91,29 @@ def test_pipeline_deletes_long_lines(spark):
     got = corpus_pipeline.lines(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars int"), "").collect()
     assert {r.doc_id: r.text for r in got} == {1: rows[0][1], 2: f"c\nd\n{short}"}
     assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_ranks_are_a_suffix_array(spark):
+    """Ranks of the deepest interval that a position is in keep the order of the sequences of line numbers, and equal ranks are equal runs."""
+    from pyspark.sql import functions as F
+
+    rows = rows_for(6)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).withColumn("__rid", F.monotonically_increasing_id())
+    positions = L._positions(df.select("__rid", F.struct("doc_id").alias("__order"), L._numbered(F.col("text")).alias("__lines")), None)
+    one, n = L._ranked(positions)
+    two, _ = L._ranked(one.select("__at", F.col("rank").alias("k1"), F.first("rank").over(L.Window.partitionBy("__at.__rid").orderBy("__at.i").rangeBetween(1, 1)).alias("k2"), "long").where("k2 is not null"))
+    number = {(r["__at"]["__rid"], r["__at"]["i"]): r["rank"] for r in one.collect()}
+    assert n == len(number)
+    pairs = {(r["__at"]["__rid"], r["__at"]["i"]): r["rank"] for r in two.collect()}
+    of = {p: (number[p], number[p[0], p[1] + 1]) for p in pairs}
+    assert len(pairs) > 20 and all((pairs[p] < pairs[q]) == (of[p] < of[q]) for p in pairs for q in pairs)
+
+
+def test_long_text_and_clashes(spark):
+    lines = [f"line {i % 5000} of many" for i in range(20000)]
+    rows = [(1, "\n".join(lines), "mine"), (2, "\n".join(lines[:7] + ["own"]), "too")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines string")
+    got = {r.doc_id: r for r in L.deduplicate(df).collect()}
+    assert (got[1].n_lines, got[1].n_removed, got[1].n_runs) == (20000, 15000, 1) and got[2].text == "own"
+    kept = L.deduplicate(df, counts=False)
+    assert kept.columns == df.columns and {r.n_lines for r in kept.collect()} == {"mine", "too"}
