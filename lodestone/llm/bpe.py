@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame
 
@@ -19,122 +19,88 @@ from .common import per_text
 #: Remembered pre-tokens and cuts; about 250 bytes each.
 PIECES = 1 << 19
 CHUNKS = 1 << 19
-#: Pre-tokens of fewer bytes are merged by looking at all pairs, which is faster for a dozen of them.
-SHORT = 40
-NONE = 1 << 30
 
 
 class RankQueue:
-    """Positions by merge rank. Bits of three levels of 64-bit words tell which ranks have positions."""
+    """Positions by merge rank. Bits of three levels of 64-bit words tell which ranks have positions: low for ranks, mid for the
+    words of low, top for those of mid. Empty between pre-tokens, so that one serves all of them."""
 
     __slots__ = ("buckets", "low", "mid", "top")
 
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}
-        self.mid: dict[int, int] = {}
+    def __init__(self, ranks: int) -> None:
+        self.buckets: list[list[int] | None] = [None] * ranks
+        self.low = [0] * ((ranks >> 6) + 1)
+        self.mid = [0] * ((ranks >> 12) + 1)
         self.top = 0
 
     def add(self, rank: int, at: int) -> None:
-        held = self.buckets.get(rank)
+        held = self.buckets[rank]
         if held is not None:
             heappush(held, at)
             return
         self.buckets[rank] = [at]
         a, b = rank >> 6, rank >> 12
-        self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
-        self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
+        self.low[a] |= 1 << (rank & 63)
+        self.mid[b] |= 1 << (a & 63)
         self.top |= 1 << b
 
-    def first(self) -> int:
-        """The smallest rank in use; -1: none."""
-        t = self.top
-        if not t:
-            return -1
-        b = (t & -t).bit_length() - 1
-        m = self.mid[b]
+    def pop(self) -> tuple[int, int]:
+        """The smallest rank in use and its leftmost position, which is taken out."""
+        low, mid, top = self.low, self.mid, self.top
+        b = (top & -top).bit_length() - 1
+        m = mid[b]
         a = b << 6 | (m & -m).bit_length() - 1
-        x = self.low[a]
-        return a << 6 | (x & -x).bit_length() - 1
-
-    def pop(self, rank: int) -> int:
-        """The leftmost position of that rank."""
+        x = low[a]
+        rank = a << 6 | (x & -x).bit_length() - 1
         held = self.buckets[rank]
-        at = heappop(held)
-        if not held:
-            del self.buckets[rank]
-            a, b = rank >> 6, rank >> 12
-            self.low[a] &= ~(1 << (rank & 63))
-            if not self.low[a]:
-                self.mid[b] &= ~(1 << (a & 63))
-                if not self.mid[b]:
-                    self.top &= ~(1 << b)
-        return at
-
-
-def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+        if len(held) > 1:
+            return rank, heappop(held)
+        self.buckets[rank] = None
+        # the bits found are the lowest of their words
+        low[a] = x & (x - 1)
+        if not low[a]:
+            mid[b] = m & (m - 1)
+            if not mid[b]:
+                self.top = top & (top - 1)
+        return rank, held[0]
+
+
+def merge_piece(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
     """Ids of one pre-token: merge the adjacent pair of smallest rank, leftmost first, until no pair has a rank."""
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
-    return merge_short(piece, ranks) if n < SHORT else merge_queued(piece, ranks)
-
-
-def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    get = ranks.get
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    pair = [get(piece[i : i + 2], NONE) for i in range(len(piece) - 1)]
-    while pair and (rank := min(pair)) < NONE:
-        i = pair.index(rank)
-        parts[i] += parts.pop(i + 1)
-        del pair[i]
-        if i < len(pair):
-            pair[i] = get(parts[i] + parts[i + 1], NONE)
-        if i:
-            pair[i - 1] = get(parts[i - 1] + parts[i], NONE)
-    return [ranks[p] for p in parts]
-
-
-def merge_queued(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    n = len(piece)
-    get = ranks.get
+    get, add, pop = ranks.get, queue.add, queue.pop
     end = list(range(1, n + 1))  # end[i]: where the part that starts at i ends; parts are their start positions
     before = list(range(-1, n))
     pair = [-1] * n  # rank of the part at i with the next one; -1: none, or i is no part's start any more
-    queue = RankQueue()
     for i in range(n - 1):
         r = get(piece[i : i + 2])
         if r is not None:
             pair[i] = r
-            queue.add(r, i)
-    while (rank := queue.first()) >= 0:
-        i = queue.pop(rank)
+            add(r, i)
+    while queue.top:
+        rank, i = pop()
         if pair[i] != rank:
             continue
         j = end[i]
-        k = end[j]
-        end[i] = k
-        pair[j] = -1
+        k = end[i] = end[j]
+        pair[i] = pair[j] = -1
         if k < n:
             before[k] = i
             r = get(piece[i : end[k]])
             if r is not None:
                 pair[i] = r
-                queue.add(r, i)
-            else:
-                pair[i] = -1
-        else:
-            pair[i] = -1
+                add(r, i)
         h = before[i]
         if h >= 0:
             r = get(piece[h:k])
-            if r is not None:
-                if pair[h] != r:
-                    pair[h] = r
-                    queue.add(r, h)
-            else:
+            if r is None:
                 pair[h] = -1
+            elif pair[h] != r:
+                pair[h] = r
+                add(r, h)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -160,13 +126,14 @@ class Codec:
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
         self.split = regex.compile(pattern).findall
+        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         self.pieces: dict[str, list[int]] = {}
         self.chunks: dict[str, list[int]] = {}
 
     def piece(self, piece: str) -> list[int]:
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = merge_piece(piece.encode(), self.ranks)
+            ids = merge_piece(piece.encode("utf-8", "surrogateescape"), self.ranks, self.queue)
             if len(piece) <= 64:
                 if len(self.pieces) >= PIECES:
                     self.pieces.clear()
@@ -204,21 +171,33 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+#: The codecs of this process, so that tasks that follow each other in one worker share what it remembers.
+_CODECS: dict[tuple[str, str], Codec] = {}
+
+
+def codec_of(vocabulary: str, pattern: str) -> Codec:
+    if (vocabulary, pattern) not in _CODECS:
+        _CODECS.clear()
+        _CODECS[vocabulary, pattern] = Codec(load_ranks(vocabulary), pattern)
+    return _CODECS[vocabulary, pattern]
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
     """Encode every whole text and decode the ids again.
 
     Adds n_tokens, ids_sha256 (of the decimal ids, comma-joined), decoded_sha256, and ids (comma-joined) if with_ids.
     vocabulary is a path that the executors can open, with the form of the tiktoken rank files. A null text counts as
-    empty (0 tokens, hashes of nothing); repeated rows are kept; input columns of these names are replaced; an
-    empty table gives an empty table. Nothing is shuffled, and a row never needs another row."""
+    empty (0 tokens, hashes of nothing); bytes that aren't valid UTF-8 are encoded one by one, each a character of its own, and come
+    back as they were; repeated rows are kept; input columns of these names are replaced, in any case; an empty table gives an
+    empty table. keep: input columns to carry, else all. Nothing is shuffled, and a row never needs another row."""
     fields = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *([("ids", "string")] if with_ids else [])]
 
     def start():
-        codec = Codec(load_ranks(vocabulary), pattern)
+        codec = codec_of(vocabulary, pattern)
         decimal = {i: str(i) for i in codec.tokens}
 
         def one(raw: bytes) -> tuple:
-            ids = codec.encode(raw.decode())
+            ids = codec.encode(raw.decode("utf-8", "surrogateescape"))
             joined = ",".join([decimal[i] for i in ids])
             out = (len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest())
             return (*out, joined) if with_ids else out

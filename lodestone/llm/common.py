@@ -17,9 +17,11 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where it is unset (tests, local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where all is one machine, a temporary one if it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = getattr(spark, "_own_checkpoint_dir", None)
         if not found:
             found = tempfile.mkdtemp(prefix="checkpoints-")
@@ -37,10 +39,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """df if its rows come in the same order each time, as from files (so that row ids are the same in every use); else written once."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    alone = all(re.match(r"[\s:+-]*(Project|Filter|Relation|LogicalRDD|LocalRelation)\b", x) for x in plan.splitlines() if x.strip())
-    return df if alone and not re.search(r"rand|uuid|shuffle\(|LogicalRDD", plan) else staged(df, "rows")
+    """df if its rows come in the same order each time, since it only projects and filters files (so that row ids are the same in every use); else written once."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+
+    def from_files(node) -> bool:
+        kind = node.getClass().getSimpleName()
+        if kind in ("Project", "Filter"):
+            return from_files(node.child())
+        return kind == "LogicalRelation" and node.relation().getClass().getSimpleName() == "HadoopFsRelation"
+
+    return df if plan.deterministic() and from_files(plan) else staged(df, "rows")
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -81,7 +89,8 @@ def per_text(docs: DataFrame, text_col: str, fields: list[tuple[str, str]], fn:
     bounded_batches(spark)
     carried = without(docs, [n for n, _ in fields])
     if keep is not None:
-        carried = carried.select(*[F.col(f"`{c}`") for c in keep])
+        made = {n.lower() for n, _ in fields}
+        carried = carried.select(*[F.col(f"`{c}`") for c in keep if c.lower() not in made])
     names = list(carried.columns)
     source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").cast("binary").alias("__text"))
     added = StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in fields))
@@ -96,5 +105,3 @@ def per_text(docs: DataFrame, text_col: str, fields: list[tuple[str, str]], fn:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], names=[*names, *[n for n, _ in fields]])
 
     return source.mapInArrow(run, out)
-
-

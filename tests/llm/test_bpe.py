@@ -5,12 +5,13 @@ import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
 
-from lodestone.llm.bpe import Codec, encode_documents, load_ranks, merge_piece, merge_queued, merge_short
+from lodestone.llm.bpe import Codec, RankQueue, encode_documents, load_ranks, merge_piece
 
 VOCABULARY = P.path("byte_bpe_multi_50k.tiktoken")
 RANKS = load_ranks(VOCABULARY)
 LIBRARY = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 CODEC = Codec(RANKS, P.PATTERN)
+QUEUE = RankQueue(len(RANKS))
 TEXTS = ["", " ", "a", "it's  we'll\n\n x ", "aaaa" * 50, "\x1c\x1d a\x85b c  d", "naïve 12345 ßü 漢字 🙂!!", "a \n b\t\tc   ", "x" * 3000 + "  " + "é" * 500, " " * 300 + "a"]
 
 
@@ -29,13 +30,30 @@ def test_random_texts(text):
 
 def test_long_pieces():
     for piece in (b"ab" * 20000, b"the" * 9000 + b"zq" * 500):
-        assert merge_piece(piece, RANKS) == LIBRARY.encode_ordinary(piece.decode())
+        assert merge_piece(piece, RANKS, QUEUE) == LIBRARY.encode_ordinary(piece.decode())
+
+
+def by_scanning(piece):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        found = [(RANKS[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in RANKS]
+        if not found:
+            return [RANKS[p] for p in parts]
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="abeth", min_size=2, max_size=60))
-def test_both_merges(text):
-    assert merge_queued(text.encode(), RANKS) == merge_short(text.encode(), RANKS)
+def test_queue_against_scanning_all_pairs(text):
+    assert merge_piece(text.encode(), RANKS, QUEUE) == by_scanning(text.encode()) and not QUEUE.top and not any(QUEUE.low) and not any(QUEUE.mid)
+
+
+def test_invalid_bytes(spark):
+    raw = b"ab \xff\xfe c\xc3 d"
+    df = spark.createDataFrame([(1, raw)], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) as text")
+    row = encode_documents(df, VOCABULARY, P.PATTERN, keep=["doc_id"]).first()
+    assert row.decoded_sha256 == hashlib.sha256(raw).hexdigest() and row.n_tokens > 4
 
 
 def test_documents(spark):
