@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SPACE = r"\x20\x09-\x0D"
 #: Arrow batches are cut at so many bytes, so that a run of long texts can't fill a Python worker.
 BATCH_BYTES = 8 << 20
+#: A key with over 1/HEAVY of all rows, of which there are HEAVY at most, is met by broadcast.
+HEAVY = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +53,28 @@ def stable(df: DataFrame) -> DataFrame:
     return df if plan.deterministic() and from_files(plan) else staged(df, "rows")
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], fields: list[str], n: str, total: int, heavy: int = HEAVY) -> DataFrame:
+    """rows with the column found, a struct of the table's fields, or null. table has one row for each combination of the keys, of which n rows have it;
+    total: the sum of n. Keys with over 1/heavy of all rows, of which there are heavy at most, are broadcast, and their rows spread evenly; only others are met by a shuffle."""
+    made = F.struct(*fields)
+    often = F.col(n) * heavy > total
+    hot = table.where(often).select(*[F.col(k).alias(f"__hot_{k}") for k in keys], made.alias("__hot"))
+    cold = table.where(~often).select(*[F.col(k).alias(f"__cold_{k}") for k in keys], F.lit(False).alias("__never"), made.alias("__cold"))
+
+    def met(side: str, mine: str):
+        out = F.lit(True)
+        for k in keys:
+            out = out & (F.col(f"{mine}{k}") == F.col(f"__{side}_{k}"))
+        return out
+
+    kinds = dict(rows.dtypes)
+    out = rows.join(F.broadcast(hot), met("hot", ""), "left").withColumn("__known", F.col("__hot").isNotNull())
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+    out = out.withColumns({f"__key_{k}": F.when(F.col("__known"), spread.cast(kinds[k])).otherwise(F.col(k)) for k in keys})
+    out = out.join(cold, met("cold", "__key_") & (F.col("__known") == F.col("__never")), "left")
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce("__hot", "__cold").alias("found"))
+
+
 def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 

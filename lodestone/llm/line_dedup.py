@@ -14,13 +14,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE, let, stable, staged, without, words_of
+from .common import HEAVY, SPACE, let, looked_up, stable, staged, without, words_of
 
 LINES = 2
 #: Words from which the pipeline takes a single line for a run.
 LONG = 50
-#: An interval with over 1/HEAVY of all positions, of which there are HEAVY at most, meets its positions by broadcast.
-HEAVY = 4096
 
 
 def _numbered(text: Column) -> Column:
@@ -44,17 +42,8 @@ def _ranked(positions: DataFrame) -> tuple[DataFrame, int]:
     total = intervals.agg(F.sum("n")).first()[0] or 0
     if not total:
         return positions.limit(0), 0
-    found = F.struct("rank", "first").alias("found")
-    heavy = intervals.where(F.col("n") * HEAVY > total).select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), found)
-    light = intervals.where(F.col("n") * HEAVY <= total).select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.lit(False).alias("l3"), found.alias("own"))
-    met = positions.join(F.broadcast(heavy), (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left")
-    known = F.col("found").isNotNull()
-    # positions of heavy intervals are dealt out evenly and meet nothing
-    spread = [F.when(known, F.xxhash64(F.lit(k), "__at")).otherwise(F.col(k)).alias(k) for k in ("k1", "k2")]
-    met = met.select("__at", "long", "found", *spread, known.alias("k3"))
-    met = met.join(light, (F.col("k1") == F.col("l1")) & (F.col("k2") == F.col("l2")) & (F.col("k3") == F.col("l3")), "left")
-    both = met.select("__at", "long", F.coalesce("found", "own").alias("f")).where("f is not null")
-    return staged(both.select("__at", "long", F.col("f.rank").alias("rank"), (F.col("__at") > F.col("f.first")).alias("later")), "line-ranks"), total
+    both = looked_up(positions, intervals, ["k1", "k2"], ["rank", "first"], "n", total, HEAVY).where("found is not null")
+    return staged(both.select("__at", "long", F.col("found.rank").alias("rank"), (F.col("__at") > F.col("found.first")).alias("later")), "line-ranks"), total
 
 
 def later_copies(positions: DataFrame, size: int, single: bool) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, per_text, staged
+from .common import bounded_batches, looked_up, per_text, stable, staged, without
 
 BITS = 4
 #: Keys with more distinct fingerprints than this are not compared in one task but linked through shared neighbours.
@@ -245,26 +245,27 @@ def components(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp, component_id) for each row: the least id that its fingerprint reaches by links of 4 or fewer bits.
+    """(id_col, fp, component_id) for each row: the least id that its fingerprint reaches by links of 4 or fewer bits. Ids of any type that has an order.
 
     Null and blank texts have fingerprint 0 and link like others; texts of any length are read whole; repeated rows stay
-    and share a component; rows with a null id take part, and a component of only such rows has a null component_id.
+    and share a component; rows with a null id take part, and a component of only such rows has a null component_id; other columns play no part.
     An empty table gives an empty table. Links are made between distinct fingerprints only, so copies cost nothing."""
-    marked = staged(with_fingerprints(docs.withColumn("__id", F.col(id_col).cast("bigint")), text_col, ["__id"]), "fingerprints")
-    nodes = staged(marked.groupBy("fp").agg(F.min("__id").alias("least")), "nodes")
+    marked = staged(with_fingerprints(docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__of")), "__of", ["__id"]), "fingerprints")
+    nodes = staged(marked.groupBy("fp").agg(F.min("__id").alias("least"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes.select("fp")))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    changed = named.join(least, "root").where("component_id < least or least is null").select("fp", F.struct("component_id").alias("found"))
-    own = nodes.select("fp", "least")
-    of = own.join(changed, "fp", "left").select("fp", F.when(F.col("found").isNotNull(), F.col("found.component_id")).otherwise(F.col("least")).alias("component_id"))
-    return marked.join(of, "fp").select(F.col("__id").alias(id_col), "fp", "component_id")
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    n_nodes, total = nodes.agg(F.count("*"), F.sum("n")).first()
+    of = looked_up(named, least, ["root"], ["component_id"], "members", n_nodes).select("fp", "n", F.col("found.component_id").alias("component_id"))
+    # copies of a third of all rows have one fingerprint
+    found = looked_up(marked, staged(of, "classes"), ["fp"], ["component_id"], "n", total or 0)
+    return found.select(F.col("__id").alias(id_col), "fp", F.col("found.component_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, that of the least id; of rows that repeat that id one stays. Rows with a null
-    id can't be named by a component and all stay."""
-    found = classes(docs, id_col, text_col)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    named = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi").dropDuplicates([id_col])
-    return named.union(docs.where(F.col(id_col).isNull()))
+    """docs with one row of each component, that of the least id, and of the first row where several have it; null ids count as the last."""
+    rows = stable(without(docs, ["__rid"])).withColumn("__rid", F.monotonically_increasing_id())
+    found = classes(rows, "__rid", text_col)
+    ids = rows.select("__rid", F.struct(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), "__rid").alias("place")).join(found, "__rid")
+    kept = ids.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.__rid").alias("__rid"))
+    return rows.join(kept, "__rid", "left_semi").drop("__rid")

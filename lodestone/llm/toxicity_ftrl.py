@@ -61,7 +61,7 @@ def fit(rows: list[tuple[bytes, int]]) -> bytes:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_out: int = 1, per_class: int = PER_CLASS) -> bytes:
     """The model. Learns from rows outside the held-out fold only; without labelled rows every score is 0.5."""
-    return train_once(labelled_sample(docs, labels, id_col, text_col, label_col, folds, held_out, per_class), fit, MOST_BYTES)
+    return train_once(labelled_sample(docs, labels, id_col, text_col, label_col, folds, held_out, per_class, MOST_BYTES), fit)
 
 
 def score(docs: DataFrame, model: bytes, text_col: str = "text", keep: list[str] | None = None, column: str = "score") -> DataFrame:
@@ -79,6 +79,7 @@ def score(docs: DataFrame, model: bytes, text_col: str = "text", keep: list[str]
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """(id, held_out, score, predicted) for each row."""
+    """(id_col, held_out, score, predicted) for each row, repeated rows and rows with a null id, which are never held out, included; other columns play no part. Null and empty texts
+    have the score of a text without features; without labelled rows every score is 0.5; an empty table gives an empty table."""
     scored = score(docs.select(id_col, text_col), train(docs, labels, id_col, text_col), text_col, [id_col])
     return scored.select(id_col, F.coalesce(fold(id_col, 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -97,3 +97,25 @@ def test_components(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (300, 100)]
     got = {r.node: r.root for r in S.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100, 150: 100, 300: 100}
+
+
+def test_links_with_hot_keys(spark, monkeypatch):
+    """All keys are hot: the whole of links() goes through shared neighbours. Executors see HOT as it is when the function is pickled."""
+    rng = random.Random(7)
+    fps = sorted({(1 << rng.randrange(10)) | (1 << rng.randrange(10, 63)) for _ in range(30)} | {rng.getrandbits(62) for _ in range(10)})
+
+    def hot_links(batches):
+        S.HOT = 0
+        return links_of(batches)
+
+    links_of = S._links
+    monkeypatch.setattr(S, "_links", hot_links)
+    found = S.links(spark.createDataFrame([(x,) for x in fps], "fp long"))
+    root = {r.node: r.root for r in S.components(found).collect()}
+    assert {x: root.get(x, x) for x in fps} == plain_components({x: x for x in fps})
+
+
+def test_string_ids_and_rows_with_one_id(spark):
+    df = spark.createDataFrame([("b", "one text of many words"), ("a", "one text of many words"), ("a", "another text altogether, unlike it"), (None, "one text of many words"), (None, None)], "doc_id string, text string")
+    assert {(r.doc_id, r.component_id) for r in S.classes(df).collect()} == {("b", "a"), ("a", "a"), (None, "a"), (None, None)}
+    assert sorted(map(str, (tuple(r) for r in S.deduplicate(df).collect()))) == sorted(map(str, [("a", "one text of many words"), ("a", "another text altogether, unlike it"), (None, None)]))
