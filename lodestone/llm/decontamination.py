@@ -95,7 +95,7 @@ def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
     own = docs.select("__rid", F.explode(sketch(words_of(text), [(b["__words"], b["needs"], b["top"]) for b in bounds])).alias("h"))
     # written once, so that its size is known: few pairs go to the texts, not texts to the pairs
     pairs = staged(own.join(sketches.select("h", "__item"), "h").select("__rid", "__item").distinct(), "leak-candidates")
-    joined = docs.select("__rid", text.alias("__text")).join(pairs.join(known.select("__item", "__item_id", "__shingles"), "__item"), "__rid")
+    joined = docs.select("__rid", text.alias("__text")).join(pairs, "__rid").join(known.select("__item", "__item_id", "__shingles"), "__item")
     # word ends are spaces, so that a shingle is found as whole words only
     padded = joined.select("__rid", "__item_id", "__shingles", F.concat(F.lit(" "), F.array_join(words_of(F.col("__text")), " "), F.lit(" ")).alias("__t"))
     shared = let(F.col("__t"), lambda t: F.size(F.filter("__shingles", lambda s: F.contains(t, F.concat(F.lit(" "), s, F.lit(" "))))))
