@@ -16,91 +16,95 @@ from pyspark.sql import DataFrame
 
 from .common import per_text
 
-#: Remembered pre-tokens and cuts; about 250 bytes each.
+#: Remembered pre-tokens and cuts of each of two generations; about 250 bytes each.
 PIECES = 1 << 19
 CHUNKS = 1 << 19
 
 
 class RankQueue:
     """Positions by merge rank. Bits of three levels of 64-bit words tell which ranks have positions: low for ranks, mid for the
-    words of low, top for those of mid. Empty between pre-tokens, so that one serves all of them."""
+    words of low, top for those of mid. A rank's bucket is 0, a position plus one, or a heap of these. Empty between pre-tokens, so that one serves all of them."""
 
-    __slots__ = ("buckets", "low", "mid", "top")
+    __slots__ = ("buckets", "low", "mid")
 
     def __init__(self, ranks: int) -> None:
-        self.buckets: list[list[int] | None] = [None] * ranks
+        self.buckets: list = [0] * ranks
         self.low = [0] * ((ranks >> 6) + 1)
         self.mid = [0] * ((ranks >> 12) + 1)
-        self.top = 0
-
-    def add(self, rank: int, at: int) -> None:
-        held = self.buckets[rank]
-        if held is not None:
-            heappush(held, at)
-            return
-        self.buckets[rank] = [at]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] |= 1 << (rank & 63)
-        self.mid[b] |= 1 << (a & 63)
-        self.top |= 1 << b
-
-    def pop(self) -> tuple[int, int]:
-        """The smallest rank in use and its leftmost position, which is taken out."""
-        low, mid, top = self.low, self.mid, self.top
-        b = (top & -top).bit_length() - 1
-        m = mid[b]
-        a = b << 6 | (m & -m).bit_length() - 1
-        x = low[a]
-        rank = a << 6 | (x & -x).bit_length() - 1
-        held = self.buckets[rank]
-        if len(held) > 1:
-            return rank, heappop(held)
-        self.buckets[rank] = None
-        # the bits found are the lowest of their words
-        low[a] = x & (x - 1)
-        if not low[a]:
-            mid[b] = m & (m - 1)
-            if not mid[b]:
-                self.top = top & (top - 1)
-        return rank, held[0]
 
 
 def merge_piece(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
-    """Ids of one pre-token: merge the adjacent pair of smallest rank, leftmost first, until no pair has a rank."""
-    whole = ranks.get(piece)
+    """Ids of one pre-token: merge the adjacent pair of smallest rank, leftmost first, until no pair has a rank. The queue's steps stand in the
+    loop itself: a pre-token of ten bytes takes some twenty of them, and calls would cost more than they do."""
+    get = ranks.get
+    whole = get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
-    get, add, pop = ranks.get, queue.add, queue.pop
+    buckets, low, mid, top = queue.buckets, queue.low, queue.mid, 0
     end = list(range(1, n + 1))  # end[i]: where the part that starts at i ends; parts are their start positions
     before = list(range(-1, n))
-    pair = [-1] * n  # rank of the part at i with the next one; -1: none, or i is no part's start any more
-    for i in range(n - 1):
-        r = get(piece[i : i + 2])
-        if r is not None:
-            pair[i] = r
-            add(r, i)
-    while queue.top:
-        rank, i = pop()
-        if pair[i] != rank:
-            continue
+    pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the part at i with the next one; -1: none, or i is no part's start any more
+    pair.append(-1)
+    fresh = enumerate(pair)
+    while True:
+        # put what is new into its rank's bucket
+        for i, r in fresh:
+            if r < 0:
+                continue
+            held = buckets[r]
+            if not held:
+                buckets[r] = i + 1
+                a = r >> 6
+                b = a >> 6
+                low[a] |= 1 << (r & 63)
+                mid[b] |= 1 << (a & 63)
+                top |= 1 << b
+            elif type(held) is int:
+                buckets[r] = [held, i + 1] if held <= i else [i + 1, held]
+            else:
+                heappush(held, i + 1)
+        # take out the leftmost position of the smallest rank; one whose pair has changed since is stale
+        while top:
+            b = (top & -top).bit_length() - 1
+            m = mid[b]
+            a = b << 6 | (m & -m).bit_length() - 1
+            x = low[a]
+            rank = a << 6 | (x & -x).bit_length() - 1
+            held = buckets[rank]
+            if type(held) is int:
+                i = held - 1
+                buckets[rank] = 0
+                # the bits found are the lowest of their words
+                low[a] = x = x & (x - 1)
+                if not x:
+                    mid[b] = m = m & (m - 1)
+                    if not m:
+                        top &= top - 1
+            else:
+                i = heappop(held) - 1
+                if len(held) == 1:
+                    buckets[rank] = held[0]
+            if pair[i] == rank:
+                break
+        else:
+            break
         j = end[i]
         k = end[i] = end[j]
-        pair[i] = pair[j] = -1
+        pair[j] = -1
+        fresh = []
         if k < n:
             before[k] = i
-            r = get(piece[i : end[k]])
-            if r is not None:
-                pair[i] = r
-                add(r, i)
+            r = pair[i] = get(piece[i : end[k]], -1)
+            fresh.append((i, r))
+        else:
+            pair[i] = -1
         h = before[i]
         if h >= 0:
-            r = get(piece[h:k])
-            if r is None:
-                pair[h] = -1
-            elif pair[h] != r:
+            r = get(piece[h:k], -1)
+            if pair[h] != r:
                 pair[h] = r
-                add(r, h)
+                fresh.append((h, r))
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -118,7 +122,7 @@ class Codec:
     """encode(text) gives ids, decode(ids) gives bytes; memory is bounded whatever the texts are.
 
     A boundary between pre-tokens always lies where white space follows another character, so texts are first cut before
-    spaces that do; ids of recent cuts and pre-tokens are remembered (at most CHUNKS and PIECES)."""
+    spaces that do; ids of recent cuts and pre-tokens are remembered (at most twice CHUNKS and PIECES)."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import regex
@@ -127,26 +131,38 @@ class Codec:
         self.tokens = {i: b for b, i in ranks.items()}
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        # when the younger generation is full it becomes the older one; what is used again is young again
         self.pieces: dict[str, list[int]] = {}
+        self.old_pieces: dict[str, list[int]] = {}
         self.chunks: dict[str, list[int]] = {}
+        self.old_chunks: dict[str, list[int]] = {}
+
+    def chunk(self, chunk: str) -> list[int]:
+        """Ids of a cut: those of its pre-tokens, of which the cut itself may be the only one."""
+        ids = self.old_chunks.get(chunk)
+        if ids is None:
+            parts = self.split(chunk)
+            ids = self.merged(chunk) if len(parts) == 1 and parts[0] == chunk else [i for p in parts for i in self.piece(p)]
+        if len(chunk) <= 64:
+            if len(self.chunks) >= CHUNKS:
+                self.old_chunks, self.chunks = self.chunks, {}
+            self.chunks[chunk] = ids
+        return ids
 
     def piece(self, piece: str) -> list[int]:
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = merge_piece(piece.encode("utf-8", "surrogateescape"), self.ranks, self.queue)
+            ids = self.old_pieces.get(piece)
+            if ids is None:
+                ids = self.merged(piece)
             if len(piece) <= 64:
                 if len(self.pieces) >= PIECES:
-                    self.pieces.clear()
+                    self.old_pieces, self.pieces = self.pieces, {}
                 self.pieces[piece] = ids
         return ids
 
-    def chunk(self, chunk: str) -> list[int]:
-        ids = [i for p in self.split(chunk) for i in self.piece(p)]
-        if len(chunk) <= 64:
-            if len(self.chunks) >= CHUNKS:
-                self.chunks.clear()
-            self.chunks[chunk] = ids
-        return ids
+    def merged(self, piece: str) -> list[int]:
+        return merge_piece(piece.encode("utf-8", "surrogateescape"), self.ranks, self.queue)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
