@@ -29,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     find.add_argument("--max-results", type=int, default=10)
     find.add_argument("--page", type=int, default=1)
     find.add_argument("--per-page", type=int, default=10)
+    find.add_argument("--show-context", action="store_true", help="also print each hit with its snippet")
     find.add_argument("--case-sensitive", action="store_true")
     find.add_argument("--exact", action="store_true")
     kinds.add_parser("status", help="totals of the index")
@@ -49,6 +50,8 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
         out = {"slices": sum(engine.index_incremental(p, max_items=said.max_items) for p in said.paths)} if said.max_items else engine.index(said.paths)
     elif said.command == "find":
         out = engine.search(said.query, said.max_results, said.page, said.per_page, exact=said.exact, case_sensitive=said.case_sensitive)
+        for at, hit in enumerate(out["items"] if said.show_context else [], (said.page - 1) * said.per_page + 1):
+            print(f"{at}. {hit['path']} ({hit['score']:.3f})\n   {hit['snippet']}")
     elif said.command == "status":
         out = engine.status()
     else:

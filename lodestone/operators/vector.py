@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+#: Queries that are scored together.
+BLOCK = 256
 
 
 class Embedder(Protocol):
@@ -33,14 +38,22 @@ class HashingEmbedder:
         return out / np.where(norm == 0, 1, norm)
 
 
-def embedded(chunks: DataFrame, embedder: Embedder) -> DataFrame:
-    """(chunk_id, embedding, path, file_id, idx): one call of the embedder for each Arrow batch."""
+def embedded(chunks: DataFrame, embedder: Embedder, batch: int = 1024) -> DataFrame:
+    """(chunk_id, embedding, path, file_id, idx): the embedder is called for batch texts at a time. Texts of a call that fails have no row, so that they are
+    found by their words only."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def of(text: pd.Series) -> pd.Series:
-        return pd.Series(list(embedder.embed(list(text))))
+        out = []
+        for at in range(0, len(text), batch):
+            part = list(text[at : at + batch])
+            try:
+                out += [list(map(float, v)) for v in embedder.embed(part)]
+            except Exception:  # noqa: BLE001  a model may raise anything
+                out += [None] * len(part)
+        return pd.Series(out, dtype=object)
 
-    return chunks.select("chunk_id", of("text").alias("embedding"), "path", "file_id", "idx")
+    return chunks.select("chunk_id", of("text").alias("embedding"), "path", "file_id", "idx").where("embedding is not null")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -52,7 +65,51 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
 
 
-def top(vectors: DataFrame, query: Sequence[float], k: int = 300, id_col: str = "chunk_id") -> DataFrame:
-    """The k vectors of largest cosine with the query; each partition sends its best k on (TakeOrderedAndProject)."""
-    asked = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.select(id_col, F.round(cosine(F.col("embedding"), asked), 6).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+def nearest(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int = 300, id_col: str = "chunk_id") -> DataFrame:
+    """(query_id, id_col, score): the k vectors of largest cosine with each query, exactly, ties by id. Queries are taken BLOCK at a time against all
+    vectors in one pass, as products of matrices; each Arrow batch sends its best k of each query on. Vectors of no length, or of another than the query's, score 0."""
+    spark, out = vectors.sparkSession, None
+    kind = vectors.schema[id_col].dataType.simpleString()
+    for at in range(0, len(queries), BLOCK):
+        part = queries[at : at + BLOCK]
+        found = vectors.select(id_col, F.col("embedding").cast("array<double>")).mapInArrow(_best(part, k, id_col), f"query_id bigint, `{id_col}` {kind}, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return vectors.limit(0).select(F.lit(0).cast("long").alias("query_id"), id_col, F.lit(0.0).alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
+    return out.withColumn("score", F.round("score", 6)).withColumn("__place", place).where(F.col("__place") <= k).drop("__place")
+
+
+def _best(queries: Sequence[tuple[int, Sequence[float]]], k: int, id_col: str):
+    dim = max((len(v) for _, v in queries), default=0)
+    asked = np.zeros((len(queries), dim))
+    for row, (_, v) in zip(asked, queries, strict=True):
+        row[: len(v)] = v
+    norm = np.linalg.norm(asked, axis=1, keepdims=True)
+    asked = asked / np.where(norm == 0, 1, norm)
+    size = np.array([len(v) for _, v in queries])
+    ids = np.array([i for i, _ in queries], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(1)
+            sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+            flat = np.nan_to_num(lists.flatten().to_numpy(zero_copy_only=False))
+            held = np.zeros((len(sizes), dim))
+            fits = (sizes > 0) & (sizes <= dim)
+            inside = np.repeat(fits, sizes)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            held[row[inside], place[inside]] = flat[inside]
+            norm = np.linalg.norm(held, axis=1, keepdims=True)
+            score = np.where(sizes[:, None] == size, held / np.where(norm == 0, 1, norm) @ asked.T, 0.0)
+            keep = np.ones(score.shape, bool)
+            if len(sizes) > k:
+                # what rounding may make equal to the k-th stays, too
+                keep = score >= np.partition(score, len(sizes) - k, axis=0)[len(sizes) - k] - 2e-6
+            at, q = np.nonzero(keep)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column(0).take(pa.array(at)), pa.array(score[at, q])], names=["query_id", id_col, "score"])
+
+    return run

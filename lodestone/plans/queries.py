@@ -82,9 +82,9 @@ def chunk_meta(spark, d):
     return chunks(spark, d, *SMALL).select("chunk_id", "file_id", "idx").join(files(spark, d).select("file_id", "path", "size", "mtime"), "file_id").drop("file_id")
 
 
-@query(f"with {chunk_sql(*SMALL)} select f.file_id, f.path, f.size, f.mtime, count(c.chunk_id) as chunk_count, f.indexed_at from files f left join (select * from chunks where path like '/corpus/en/%') c on f.file_id = c.file_id group by all")
+@query(f"with {chunk_sql(*SMALL)} select f.file_id, f.path, f.size, f.mtime, count(c.chunk_id) as chunk_count, f.indexed_at from files f left join chunks c on f.file_id = c.file_id group by all")
 def file_chunk_counts(spark, d):
-    return catalog.file_chunk_counts(files(spark, d), chunks(spark, d, *SMALL).where(F.col("path").startswith("/corpus/en/")))
+    return catalog.file_chunk_counts(files(spark, d), chunks(spark, d, *SMALL))
 
 
 _FTS = f"{chunk_sql(*SMALL)}, fts as (select chunk_id, path, text from chunks where path not like '/corpus/fr/%'), held as (select * from chunks where path not like '/corpus/de/%')"
@@ -200,9 +200,13 @@ def _vector(spark, d, vec_id):
     return [float(x) for x in table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).first().embedding]
 
 
-@query(f"with {chunk_sql()}, {VECTORS} select chunk_id, round(list_cosine_similarity(embedding::double[], (select embedding from embeddings where vec_id = 7)::double[]), 6) as score from vectors order by score desc, chunk_id limit 300")
+@query(f"""with {chunk_sql()}, {VECTORS}, asked as (select vec_id as query_id, embedding as wanted from embeddings where vec_id % 50 = 0),
+s as (select query_id, chunk_id, round(list_cosine_similarity(embedding::double[], wanted::double[]), 6) as score from vectors, asked)
+select * exclude (k) from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as k from s) where k <= 300""")
 def vector_topk(spark, d):
-    return vector.top(vectors(spark, d), _vector(spark, d, 7))
+    """Every vector whose id is divisible by 50 as a query, against all."""
+    asked = [(r.vec_id, r.embedding) for r in table(spark, d, "embeddings").where("vec_id % 50 = 0").select("vec_id", "embedding").collect()]
+    return vector.nearest(vectors(spark, d), asked)
 
 
 @query("""with s as (select vec_id, label, round(list_cosine_similarity(embedding::double[], (select embedding from embeddings where vec_id = 7)::double[]), 6) as score from embeddings),
@@ -235,8 +239,9 @@ def position_bonus(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(X.position_bonus(F.lit("That "), F.col("text")), 6).alias("bonus"))
 
 
-_FUSED = f"""{chunk_sql()}, {VECTORS}, {_LEX}, {_q([x[:2] for x in FUSED])}, {_BM25},
-asked(query_id, query, vec_id) as (values {", ".join(f"({i}, '{w}', {v})" for i, w, v in FUSED)}),
+def _fused_sql(phrases: str, asked: str) -> str:
+    """phrases: q (query_id, phrase, term); asked: asked (query_id, query, vec_id)."""
+    return f"""{chunk_sql()}, {VECTORS}, {_LEX}, {phrases}, {_BM25}, {asked},
 vec as (select * exclude (k) from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as k from
   (select a.query_id, v.chunk_id, round(list_cosine_similarity(v.embedding::double[], e.embedding::double[]), 6) as score from asked a join embeddings e using (vec_id), vectors v)) where k <= 300),
 nl as (select query_id, chunk_id, case when max(score) over w = min(score) over w then score else (score - min(score) over w) / (max(score) over w - min(score) over w) end as bm25 from lex window w as (partition by query_id)),
@@ -248,14 +253,14 @@ merged as (select * exclude (k) from (select *, row_number() over (partition by
 deduped as (select * exclude (k) from (select *, row_number() over (partition by query_id, file_id order by score desc, chunk_id) as k from merged) where k = 1)"""
 
 
+_FUSED = _fused_sql(_q([x[:2] for x in FUSED]), "asked(query_id, query, vec_id) as (values " + ", ".join(f"({i}, '{w}', {v})" for i, w, v in FUSED) + ")")
+
+
 def _merged(spark, d):
     # used by every side of the plan, so cut once
     every = staged(chunks(spark, d).select("chunk_id", "file_id", "path", "idx", "text"), "chunks")
     held = staged(vectors(spark, d, every), "vectors")
-    near = None
-    for i, _, vec_id in FUSED:
-        one = vector.top(held, _vector(spark, d, vec_id)).withColumn("query_id", F.lit(i).cast("long"))
-        near = one if near is None else near.unionByName(one)
+    near = vector.nearest(held, [(i, _vector(spark, d, vec_id)) for i, _, vec_id in FUSED])
     queries = spark.createDataFrame([x[:2] for x in FUSED], "query_id long, query string")
     return ranking.fused(lexical.search(every, [x[:2] for x in FUSED]), near, every, queries)
 
@@ -287,18 +292,27 @@ def pagination(spark, d):
     return ranking.paged(_found(spark, d), 2, 7).select("query_id", "rank", "chunk_id", "score", "total_hits", "total_pages", "has_next", "has_prev")
 
 
-@query(rf"""with {chunk_sql()}, {_LEX}, q as (select item_id as query_id, generate_subscripts(w, 1) - 1 as phrase, unnest(w) as term from
-  (select item_id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_{SPACE[1:-1]}]', ' ', 'g'), '{SPACE}+', ' ', 'g')), ' '), lambda x: x <> '') as w from benchmark)), {_BM25}
-select query_id, chunk_id, score from lex""")
+_BATCH = _fused_sql(
+    rf"""q as (select item_id as query_id, generate_subscripts(w, 1) - 1 as phrase, unnest(w) as term from
+  (select item_id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_{SPACE[1:-1]}]', ' ', 'g'), '{SPACE}+', ' ', 'g')), ' '), lambda x: x <> '') as w from benchmark))""",
+    f"asked as (select item_id as query_id, regexp_replace(lower(text), '^{SPACE}+|{SPACE}+$', '', 'g') as query, item_id as vec_id from benchmark)",
+)
+
+
+@query(f"with {_BATCH} select query_id::bigint as query_id, chunk_id, file_id, score from deduped qualify row_number() over (partition by query_id order by score desc, chunk_id) <= 50")
 def hybrid_batch(spark, d):
-    """All benchmark items as queries in one job."""
-    every = staged(chunks(spark, d).select("chunk_id", "text"), "batch-chunks")
-    asked = lexical.phrases_of(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+    """All benchmark items as queries in one job, by words and by the vector of the item's number; words alone where there is none."""
+    every = staged(chunks(spark, d).select("chunk_id", "file_id", "path", "idx", "text"), "batch-chunks")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    asked = lexical.phrases_of(items)
     dl = lexical.lengths(every)
     n, mean = dl.agg(F.count("*"), F.avg("dl")).first()
     wanted = lexical.occurrences(every, ("text",)).withColumnRenamed("token", "term").join(asked.select("term").distinct(), "term", "left_semi")
     posted = wanted.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
-    return lexical.top(lexical.bm25(posted, dl, asked, n, mean or 1.0), 200)
+    known = items.join(table(spark, d, "embeddings"), F.col("query_id") == F.col("vec_id")).select("query_id", "embedding").collect()  # the queries, not the corpus
+    near = vector.nearest(vectors(spark, d, every), [(r.query_id, r.embedding) for r in known])
+    ranked = ranking.fused(lexical.top(lexical.bm25(posted, dl, asked, n, mean or 1.0), 200), near, every, items)
+    return ranking.best(ranking.best_by_file(ranked), SearchSettings().top_k, ["query_id"]).select("query_id", "chunk_id", "file_id", "score")
 
 
 _AT = f"(case when strpos(lower(text), '{_PAIR}') > 0 then strpos(lower(text), '{_PAIR}') else coalesce(list_min(list_filter([strpos(lower(text), 'for'), strpos(lower(text), 'was')], lambda p: p > 0)), 0) end - 1)"
@@ -313,20 +327,30 @@ def snippets(spark, d):
     return s.select("doc_id", "s.snippet", F.col("s.start").cast("long").alias("lo"), F.col("s.end").cast("long").alias("hi"))
 
 
-@query(rf"select doc_id, regexp_replace(text, '(?i)\b(that|for)\b', '**\1**', 'g') as marked from documents where lang = 'en'")
+def _marked_sql(text: str, words: str) -> str:
+    """Whole words between asterisks, where letters of any script are word characters: twice, since words in a row share what is between them."""
+    edge = r"[^\p{L}\p{M}\p{Nd}_\x01\x02]"
+    for _ in range(2):
+        text = rf"regexp_replace({text}, '(?i)(^|{edge})({words})($|{edge})', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g')"
+    return f"replace(replace({text}, chr(1), '**'), chr(2), '**')"
+
+
+@query(f"select doc_id, {_marked_sql('text', 'that|for')} as marked from documents")
 def highlight(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", X.highlight(F.col("text"), WORD).alias("marked"))
+    return table(spark, d, "documents").select("doc_id", X.highlight(F.col("text"), WORD).alias("marked"))
 
 
 _CUT = "substr(clean, 1, 200)"
 _SPACE_AT = f"(length({_CUT}) - strpos(reverse({_CUT}), ' '))"
 
 
-@query(rf"""with {_SNIP % "(select doc_id, text from documents where lang = 'en')"}, c as (select *, trim(regexp_replace(snippet, '{SPACE}+', ' ', 'g')) as clean from n),
+@query(rf"""with {_SNIP % "(select doc_id, text, source from documents)"}, c as (select *, trim(regexp_replace(snippet, '{SPACE}+', ' ', 'g')) as clean from n),
 t as (select *, case when length(clean) <= 200 then clean else case when strpos({_CUT}, ' ') > 0 and {_SPACE_AT} > 160 then substr({_CUT}, 1, {_SPACE_AT}) else {_CUT} end || '...' end as short from c)
-select doc_id, lo::bigint as start, hi::bigint as "end", regexp_replace(short, '(?i)\b(for|was)\b', '**\1**', 'g') as snippet, 'text' as file_type from t""")
+select doc_id, lo::bigint as start, hi::bigint as "end", {_marked_sql("short", "for|was")} as snippet, case when doc_id % 2 = 0 then 'text' else 'markdown' end as file_type from t""")
 def search_hits_of_texts(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text", F.lit("/x/a.txt").alias("path"))
+    """Every document's text as a hit."""
+    path = F.concat(F.lit("/x/"), F.col("doc_id"), F.when(F.col("doc_id") % 2 == 0, ".txt").otherwise(".md"))
+    docs = table(spark, d, "documents").select("doc_id", "text", path.alias("path"))
     return search_hits(docs, _PAIR).select("doc_id", "start", "end", "snippet", "file_type")
 
 
@@ -409,7 +433,10 @@ def _written(spark, d, name):
     return root
 
 
-@query()
+_LINES = "replace(replace(text || chr(10), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+
+
+@query(f"select doc_id, strlen(text) + 1 as size, sha256({_LINES}) as sha256 from documents")
 def index_incremental(spark, d):
     """The file stream takes the documents in slices; each slice's files are written once, under its number."""
     root = _written(spark, d, "stream")
@@ -419,10 +446,10 @@ def index_incremental(spark, d):
 
     slices(spark, f"{root}/files", f"{root}/seen", keep, 400)
     out = spark.read.parquet(f"{root}/out")
-    return out.select(F.regexp_extract("path", "doc=([0-9]+)", 1).cast("long").alias("doc_id"), "size", "sha256", F.col("batch").cast("long").alias("batch"))
+    return out.select(F.regexp_extract("path", "doc=([0-9]+)", 1).cast("long").alias("doc_id"), "size", "sha256")
 
 
-@query()
+@query(f"with {chunk_sql()} select (select count(*) from files) as total_files, count(*) as total_chunks, count(*) as total_fts_entries, count(distinct path) as unique_paths, (select sum(strlen(text) + 1)::bigint from files) as total_size_bytes, count(*) as total_vectors, 0::bigint as total_errors from chunks")
 def index_full(spark, d):
     """A full pass over the documents as files: the totals of the index that it writes."""
     from dataclasses import replace
@@ -434,7 +461,9 @@ def index_full(spark, d):
     settings = Settings(store=f"{root}/store")
     engine = Engine(spark, replace(settings, index=replace(settings.index, exclude_patterns=())))
     engine.index([f"{root}/files"])
-    return catalog.db_stats(engine.store.read("files"), engine.store.read("chunks"), engine.store.read("chunks")).drop("last_indexed")
+    found = engine.status()
+    del found["last_indexed"]
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} long" for k in found))
 
 
 for _old, _new in (("chunks_cut", "chunks"), ("search_hits_of_texts", "search_hits"), ("html_text_of_pages", "html_text")):

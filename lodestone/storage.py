@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("files", "chunks", "postings", "lengths", "vectors")
+TABLES = ("files", "chunks", "postings", "lengths", "vectors", "errors")
+#: What a table is sorted by, so that a lookup reads the few row groups that may have the key.
+SORTED = {"files": "path", "chunks": "chunk_id", "postings": "term", "lengths": "chunk_id", "vectors": "chunk_id"}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a temporary folder where it is unset (tests, local mode)."""
+    """spark.checkpoint.dir, which driver and executors share; in local mode, where all is one machine, a temporary folder if it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_lodestone_dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = spark._lodestone_dir = tempfile.mkdtemp(prefix="lodestone-")
     return found.rstrip("/")
 
@@ -51,6 +56,8 @@ class Store:
         found = self.versions()
         now = (found or [0])[-1] + 1
         for name, df in tables.items():
+            if name in SORTED:
+                df = df.repartitionByRange(SORTED[name]).sortWithinPartitions(SORTED[name])
             df.write.mode("overwrite").parquet(f"{self.root}/v{now}/{name}")
         self._fs.create(self._path(f"{self.root}/v{now}/_READY")).close()
         for old in found[:-1]:

@@ -47,12 +47,92 @@ def test_index_and_search(spark, tmp_path, folder):
 
 def test_slices_and_cli(spark, tmp_path, folder, monkeypatch, capsys):
     monkeypatch.setenv("LA_STORE_PATH", str(tmp_path / "store2"))
-    monkeypatch.setattr("lodestone.engine.shared_dir", lambda _: str(tmp_path / "state"))
+    monkeypatch.setattr("lodestone.cli.load_config", lambda _: replace(s := load_config(), index=replace(s.index, exclude_patterns=())))
+    asked = ["index", str(folder / "sub"), "--max-items", "1", "--allow", ".html,.md"]
+    assert main(asked, spark)["slices"] >= 1 and main(asked, spark) == {"slices": 0}
+    assert main(["index", str(tmp_path / "nowhere"), "--max-items", "1"], spark) == {"slices": 0}
+    found = main(["find", "python", "--show-context"], spark)
+    assert [i["path"].rsplit("/", 1)[1] for i in found["items"]] == ["c.html"] and "1. " in capsys.readouterr().out
+    # a reset store forgets what has been seen
+    assert main(["reset"], spark) == {"reset": True} and main(asked, spark)["slices"] >= 1
+    assert "reset" in capsys.readouterr().out
+
+
+def test_faults(spark, tmp_path, folder):
+    """Missing roots, unreadable files, a failing embedder, a search that fails."""
+
+    class Failing:
+        dim = 4
+
+        def embed(self, texts):
+            raise RuntimeError("no model")
+
+    (folder / "bad.docx").write_bytes(b"junk")
+    (folder / "own.md").write_text("x")
+    settings = Settings(store=str(tmp_path / "store"))
+    settings = replace(settings, index=replace(settings.index, exclude_patterns=("**/.git/**",), max_pdf_pages=3))
+    engine = Engine(spark, settings, Failing(), {".md": lambda raw: "text of an own extractor about learning"})
+    failed = engine.search("learning")
+    assert failed["items"] == [] and "no index" in failed["error"]
+    assert engine.index([str(tmp_path / "nowhere")]) == {}
+    counts = engine.index([str(folder), str(tmp_path / "nowhere")])
+    assert counts["unreadable"] == 1 and counts["indexed"] == 4
+    status = engine.status()
+    assert (status["total_files"], status["total_fts_entries"], status["total_vectors"], status["total_errors"]) == (4, 4, 0, 1)
+    assert {i["path"].rsplit("/", 1)[1] for i in engine.search("learning")["items"]} == {"a.md", "b.txt", "own.md"}
+    got = engine.batch([(1, "learning"), (2, "python"), (3, "")]).collect()
+    assert {r.query_id for r in got} == {1, 2} and sum(r.query_id == 1 for r in got) == 3
+    # only what is below the roots of a pass can be gone
+    assert engine.index([str(folder / "sub")]) == {"empty": 1, "indexed": 1, "unchanged": 1} and engine.status()["total_files"] == 4
+    assert engine.extractors[".pdf"].keywords == {"pages": 3}
+
+
+def test_pdf_parsers_in_turn(monkeypatch):
     from lodestone.sources import files
 
-    assert main(["index", str(folder / "sub"), "--max-items", "1", "--allow", ".html,.md"], spark)["slices"] >= 1
-    assert files.ALLOWED and main(["reset"], spark) == {"reset": True}
-    assert "reset" in capsys.readouterr().out
+    def broken(raw, pages):
+        raise ValueError(raw)
+
+    monkeypatch.setattr(files, "PDF_PARSERS", (broken, lambda raw, pages: ["one", " ", "two", "three"][:pages]))
+    assert files.pdf_text(b"", 3) == "one\n\ntwo" and extract("/x.pdf", b"", files.extractors_of(Settings().index)) == "one\n\ntwo\n\nthree"
+    monkeypatch.setattr(files, "PDF_PARSERS", (broken,))
+    assert files.pdf_text(b"") is None
+
+
+def test_nearest(spark, monkeypatch):
+    import numpy as np
+
+    from lodestone.operators import vector
+
+    rng = np.random.default_rng(1)
+    held = [(f"v{i:03}", v.tolist()) for i, v in enumerate(rng.normal(size=(150, 8)))] + [("zero", [0.0] * 8), ("none", None), ("short", [1.0]), ("twin", None)]
+    held[-1] = ("twin", held[0][1])
+    asked = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(5, 8)))] + [(9, held[0][1])]
+    monkeypatch.setattr(vector, "BLOCK", 4)
+    df = spark.createDataFrame(held, "chunk_id string, embedding array<double>").repartition(3)
+    got = {}
+    for r in vector.nearest(df, asked, 10).collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+
+    def cosine(a, b):
+        return round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 6) if b is not None and len(a) == len(b) and any(b) else 0.0
+
+    for i, v in asked:
+        want = sorted(((c, cosine(v, w)) for c, w in held), key=lambda x: (-x[1], x[0]))[:10]
+        assert sorted(got[i], key=lambda x: (-x[1], x[0])) == want
+    assert vector.nearest(df, [], 10).count() == 0 and vector.nearest(df.limit(0), asked, 10).count() == 0
+
+
+def test_bench(spark, tmp_path, monkeypatch, capsys):
+    from lodestone import bench
+
+    monkeypatch.setenv("LA_STORE_PATH", str(tmp_path / "store"))
+    runs = [bench.main(["--create-test-env", "--cleanup", "--queries", "river trade", "stone bridges"], spark) for _ in range(2)]
+    assert runs[0]["files_indexed"] == 3 and runs[0]["compared"] == [] and runs[0]["search"]["total_results"] == [3, 3] and runs[0]["search"]["cache_hits"] == 2
+    assert {r["measure"] for r in runs[1]["compared"]} == {"t_index", "t_search_hybrid"}
+    for r in runs[1]["compared"]:
+        assert abs(r["improvement"] - (r["previous"] - r["seconds"]) / r["previous"] * 100) < 1e-6
+    assert bench.load(spark, str(tmp_path / "store-runs/search_bench")).count() == 2 and "t_index" in capsys.readouterr().out
 
 
 def test_config(tmp_path):
