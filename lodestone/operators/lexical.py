@@ -25,13 +25,14 @@ def tokens(text: Column) -> Column:
 
 
 def occurrences(chunks: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(chunk_id, token, place) of all tokens in these columns."""
+    """(chunk_id, dl, token, place) of all tokens in these columns; dl: how many the chunk has."""
 
     def placed(column: str, begin: int) -> Column:
         return F.transform(tokens(F.col(column)), lambda t, i: F.struct(t.alias("token"), (i + begin).alias("place")))
 
     every = F.flatten(F.array(*[placed(c, k * GAP) for k, c in enumerate(columns)]))
-    return chunks.select("chunk_id", F.explode(every).alias("o")).select("chunk_id", "o.token", "o.place")
+    held = chunks.select("chunk_id", every.alias("every"))
+    return held.select("chunk_id", F.size("every").cast("long").alias("dl"), F.explode("every").alias("o")).select("chunk_id", "dl", "o.token", "o.place")
 
 
 def stems(found: DataFrame) -> DataFrame:
@@ -45,9 +46,10 @@ def stems(found: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame, columns: Sequence[str] = ("text",), stemmed: bool = False) -> DataFrame:
+    """(term, chunk_id, tf, places, dl): a posting has its chunk's length, so that scoring joins nothing."""
     found = occurrences(chunks, columns)
     found = found.join(stems(found), "token") if stemmed else found.withColumnRenamed("token", "term")
-    return found.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
+    return found.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("place")).alias("places"), F.first("dl").alias("dl"))
 
 
 def lengths(chunks: DataFrame, columns: Sequence[str] = ("text",)) -> DataFrame:
@@ -57,14 +59,18 @@ def lengths(chunks: DataFrame, columns: Sequence[str] = ("text",)) -> DataFrame:
     return chunks.select("chunk_id", n.cast("long").alias("dl"))
 
 
-def phrases(spark: SparkSession, queries: Sequence[tuple[int, str]], stemmed: bool = False) -> DataFrame:
-    """Phrases of queries that the driver holds. A bareword with an underscore is a phrase of its parts; a repeated word is a repeated phrase."""
+def phrase_rows(queries: Sequence[tuple[int, str]], stemmed: bool = False) -> list[tuple[int, int, int, str, int]]:
+    """(query_id, phrase, place, term, n_terms) of queries that the driver holds. A bareword with an underscore is a phrase of its parts; a repeated word is a repeated phrase."""
     rows = []
     for query_id, text in queries:
         for k, word in enumerate(clean_query_text(text).split()):
             parts = [p for p in word.split("_") if p]
             rows += [(query_id, k, i, porter_term(p) if stemmed else p, len(parts)) for i, p in enumerate(parts)]
-    return spark.createDataFrame(rows, "query_id long, phrase int, place int, term string, n_terms int")
+    return rows
+
+
+def phrases(spark: SparkSession, queries: Sequence[tuple[int, str]], stemmed: bool = False) -> DataFrame:
+    return spark.createDataFrame(phrase_rows(queries, stemmed), "query_id long, phrase int, place int, term string, n_terms int")
 
 
 def phrases_of(queries: DataFrame) -> DataFrame:
@@ -75,25 +81,27 @@ def phrases_of(queries: DataFrame) -> DataFrame:
 
 
 def phrase_counts(posted: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, phrase, chunk_id, f): how often a chunk has a phrase. Places are exploded for phrases of several terms only."""
-    met = posted.join(asked, "term")
-    single = met.where("n_terms = 1").select("query_id", "phrase", "chunk_id", F.col("tf").alias("f"))
-    several = met.where("n_terms > 1").select("query_id", "phrase", "chunk_id", "n_terms", F.explode(F.transform("places", lambda p: p - F.col("place"))).alias("start"))
-    several = several.groupBy("query_id", "phrase", "chunk_id", "n_terms", "start").count().where("count = n_terms").groupBy("query_id", "phrase", "chunk_id").agg(F.count("*").alias("f"))
-    found = single.unionByName(several)
-    return found
+    """(query_id, phrase, chunk_id, f, and dl if the postings have it): how often a chunk has a phrase. Places are exploded for phrases of several terms only."""
+    met, own = posted.join(asked, "term"), [c for c in ("dl",) if c in posted.columns]
+    key = ["query_id", "phrase", "chunk_id", *own]
+    single = met.where("n_terms = 1").select(*key, F.col("tf").alias("f"))
+    several = met.where("n_terms > 1").select(*key, "n_terms", F.explode(F.transform("places", lambda p: p - F.col("place"))).alias("start"))
+    several = several.groupBy(*key, "n_terms", "start").count().where("count = n_terms").groupBy(*key).agg(F.count("*").alias("f"))
+    return single.unionByName(several)
 
 
-def bm25(posted: DataFrame, dl: DataFrame, asked: DataFrame, n_rows: int, mean_length: float) -> DataFrame:
-    """(query_id, chunk_id, score) of the chunks that have all phrases of a query."""
+def bm25(posted: DataFrame, dl: DataFrame | None, asked: DataFrame, n_rows: int, mean_length: float) -> DataFrame:
+    """(query_id, chunk_id, score) of the chunks that have all phrases of a query. dl: lengths, where the postings have none."""
     found = phrase_counts(posted, asked)
     n = found.groupBy("query_id", "phrase").agg(F.count("*").alias("n"))
     idf = F.log((n_rows - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weighed = n.select("query_id", "phrase", F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)).alias("idf"))
     needed = asked.groupBy("query_id").agg(F.countDistinct("phrase").alias("needed"))
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.lit(mean_length)))
-    scored = found.join(weighed, ["query_id", "phrase"]).join(dl, "chunk_id").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"), F.count("*").alias("has"))
-    return scored.join(needed, "query_id").where("has = needed").select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    if "dl" not in found.columns:
+        found = found.join(dl, "chunk_id")
+    scored = found.join(F.broadcast(weighed), ["query_id", "phrase"]).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"), F.count("*").alias("has"))
+    return scored.join(F.broadcast(needed), "query_id").where("has = needed").select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def top(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
