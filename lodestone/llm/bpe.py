@@ -3,7 +3,8 @@
 The merge loop keeps, for each merge rank, the positions of the pairs that have that rank, and finds the smallest rank that
 is in use with a three-level bitmap (find-first-set on each level). A pre-token is a linked list of parts; a position whose
 pair has changed since it was put into a bucket is stale and is skipped when taken out. Each merge costs the same, however
-long the pre-token is, so a pre-token of 100,000 bytes takes time in proportion to its length.
+long the pre-token is, so a pre-token of 100,000 bytes takes time in proportion to its length. Pre-tokens of fewer than SHORT bytes have
+nothing to gain from that and are merged by scanning their pairs.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ PIECES = 1 << 19
 CHUNKS = 1 << 19
 
 
+#: Pre-tokens of fewer bytes are merged by scanning their pairs, not by the queue.
+SHORT = 16
+
+
 class RankQueue:
     """Positions by merge rank. Bits of three levels of 64-bit words tell which ranks have positions: low for ranks, mid for the
     words of low, top for those of mid. A rank's bucket is 0, a position plus one, or a heap of these. Empty between pre-tokens, so that one serves all of them."""
@@ -33,14 +38,32 @@ class RankQueue:
         self.mid = [0] * ((ranks >> 12) + 1)
 
 
+def merge_scanned(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same ids, from a look at all pairs for each merge: for a few bytes that costs a third of what the queue does."""
+    get, none = ranks.get, 1 << 30
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    pair = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pair and (rank := min(pair)) < none:
+        i = pair.index(rank)
+        parts[i] += parts.pop(i + 1)
+        del pair[i]
+        if i < len(pair):
+            pair[i] = get(parts[i] + parts[i + 1], none)
+        if i:
+            pair[i - 1] = get(parts[i - 1] + parts[i], none)
+    return [ranks[p] for p in parts]
+
+
 def merge_piece(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
     """Ids of one pre-token: merge the adjacent pair of smallest rank, leftmost first, until no pair has a rank. The queue's steps stand in the
-    loop itself: a pre-token of ten bytes takes some twenty of them, and calls would cost more than they do."""
+    loop itself, since calls would cost more than they do."""
     get = ranks.get
     whole = get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
+    if n < SHORT:
+        return merge_scanned(piece, ranks)
     buckets, low, mid, top = queue.buckets, queue.low, queue.mid, 0
     end = list(range(1, n + 1))  # end[i]: where the part that starts at i ends; parts are their start positions
     before = list(range(-1, n))

@@ -57,6 +57,18 @@ def by_scanning(piece):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="abeth", min_size=2, max_size=60))
 def test_queue_against_scanning_all_pairs(text):
+    """The queue for pre-tokens of any length."""
+    from lodestone.llm import bpe
+
+    assert bpe.merge_scanned(text.encode(), RANKS) == by_scanning(text.encode())
+    kept, bpe.SHORT = bpe.SHORT, 0
+    try:
+        check_queue(text)
+    finally:
+        bpe.SHORT = kept
+
+
+def check_queue(text):
     assert merge_piece(text.encode(), RANKS, QUEUE) == by_scanning(text.encode()) and not any(QUEUE.low) and not any(QUEUE.mid) and not any(QUEUE.buckets)
 
 
