@@ -74,3 +74,47 @@ def test_long_urls_and_few_labels(spark):
         assert abs(r.confidence - bad / len(hit)) < 1e-9 and abs(r.support - bad / 200) < 1e-9 and bad >= U.PAGES and r.rarest in r.rule
     few = spark.createDataFrame([(i, 0) for i in range(19)], "doc_id long, quality int")
     assert U.mine(pages, few).count() == 0
+
+
+def plain_rules(baskets, is_bad, least, most):
+    """Rules of up to most tokens by counting combinations of all tokens."""
+    want, n = {}, len(baskets)
+    every = sorted(set().union(*baskets))
+    frequent = [t for t in every if sum(b for x, b in zip(baskets, is_bad, strict=True) if t in x) >= least]
+    for size in range(1, most + 1):
+        for combo in itertools.combinations(frequent, size):
+            if any(x <= set(combo) for x in want):
+                continue
+            hit = [b for t, b in zip(baskets, is_bad, strict=True) if t.issuperset(combo)]
+            if sum(hit) >= least and sum(hit) >= U.CONFIDENCE * len(hit):
+                want[frozenset(combo)] = (sum(hit) / len(hit), sum(hit) / n)
+    return want
+
+
+def mined(spark, rows, bad, **args):
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    marks = spark.createDataFrame([(i, int(i not in bad)) for i, _ in rows], "doc_id long, quality int")
+    tokens = {r.page_id: set(r.t) for r in pages.select("page_id", U.tokens_of(U.F.col("url")).alias("t")).collect()}
+    got = {frozenset(r.rule): (round(r.confidence, 9), round(r.support, 9)) for r in U.mine(pages, marks, **args).collect()}
+    return [tokens[i] for i, _ in rows], [i in bad for i, _ in rows], got
+
+
+def test_rules_of_tokens_that_tell_little(spark):
+    """A page's combinations are found whole, however many tokens it has and however little each of them tells."""
+    rng = random.Random(3)
+    for names, share, pages, least, items in ((9, 0.6, 300, 20, 3), (30, 0.7, 400, 50, U.ITEMS)):
+        rows, bad = [], set()
+        for i in range(pages):
+            parts = [f"t{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(names) if rng.random() < share]
+            u, v = rng.random() < 0.4, rng.random() < 0.4
+            parts += ["uu"] * u + ["vv"] * v + ["twin", "double"] * (i % 3 > 0)
+            rng.shuffle(parts)
+            rows.append((i, "http://h.io/" + "/".join(parts)))
+            # with uu and vv always, with neither often: each alone is as bad as any page
+            if u and v or not (u or v) and rng.random() < 0.6:
+                bad.add(i)
+        baskets, is_bad, got = mined(spark, rows, bad, pages_at_least=least, items=items)
+        want = {k: (round(a, 9), round(b, 9)) for k, (a, b) in plain_rules(baskets, is_bad, least, names if names < 10 else 4).items()}
+        assert max(map(len, baskets)) > items + 4
+        assert frozenset({"p:uu", "p:vv"}) in want
+        assert got == want
