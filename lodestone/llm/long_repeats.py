@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from .blocks import RANGES, SCHEMA, Row, batched, dealt, edges_of, grouped, labels, mixed, n_ranges, own_bucket, pack, sent, unpack
-from .common import bounded_batches, stable, staged, without
+from .common import bounded_batches, given_back, stable, staged, without
 
 LENGTH = 200
 GRAM = 136
 #: Windows of a text that are hashed together, and runs that a task settles together.
 PIECE = 1 << 19  # under 2**23
 AT_ONCE = 1 << 20
+#: Decisions of one block, and rows of one batch of what is found.
+FOUND = 1 << 16
 #: Bytes that are indexed together, if names allow it, and bytes up to which a name is always indexed in one place.
 SHARD = 4 << 20
 WIDE = 8 << 20
@@ -221,22 +223,30 @@ class _Out:
     def done(self) -> Iterator[Row]:
         if not self.held:
             return
-        rows = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
-        self.parts, self.held = [], 0
+        parts, self.parts, self.held = self.parts, [], 0
+        rows = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        del parts
         none = np.zeros(len(rows[0]), bool)
         decision, (whole, _, on, other) = _decided(rows, none, none)
-        if len(decision[0]):
-            yield own_bucket(self.names, int(decision[0][0])), -1, _DONE, pack(*decision)
+        # what is sent goes block by block, and nothing else is held meanwhile
         flags = (whole.astype(np.uint8) | other.astype(np.uint8) << 1)[on]
-        yield from sent(self.names, self.ranges, mixed(rows[0][on]), _RUNS, *(x[on] for x in rows), flags, step=2)
+        rows = [x[on] for x in rows]
+        del none, whole, on, other, _
+        for at in range(0, len(decision[0]), FOUND):
+            part = [x[at : at + FOUND] for x in decision]
+            yield own_bucket(self.names, int(part[0][0])), -1, _DONE, pack(*part)
+        del decision
+        yield from sent(self.names, self.ranges, mixed(rows[0]), _RUNS, *rows, flags, step=2)
 
 
 def _settled(length: int):
     """Dealt rows to _FOUND."""
 
-    def found(rid, lo, n, sure, name) -> pa.RecordBatch:
-        columns = [pa.array(rid.astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(sure > 0), pa.array(name.astype(np.uint64).view(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, names=["rid", "lo", "n", "sure", "name"])
+    def found(*every) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(every[0]), FOUND):
+            rid, lo, n, sure, name = (x[at : at + FOUND] for x in every)
+            columns = [pa.array(rid.astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(sure > 0), pa.array(name.astype(np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "lo", "n", "sure", "name"])
 
     def indexed(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -255,24 +265,24 @@ def _settled(length: int):
             part = held[at:end]
             text, first, n = repeated_spans([x[3] for x in part], length)
             rid, lo = np.array([x[1] for x in part]), np.array([x[2] for x in part])
-            yield found(rid[text], lo[text] + first, n, np.ones(len(text)), np.zeros(len(text)))
+            yield from found(rid[text], lo[text] + first, n, np.ones(len(text)), np.zeros(len(text)))
             at = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches):
             of = {kind: [b for k, b in rows if k == kind] for kind in (_RUNS, _DONE, _BYTES)}
             for raw in of[_DONE]:
-                yield found(*unpack(raw, *_DECISION))
+                yield from found(*unpack(raw, *_DECISION))
             if of[_RUNS]:
                 parts = [unpack(b, *_ROW) for b in of[_RUNS]]
                 for p in parts:
                     p[2] = np.cumsum(p[2])
                 every = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                yield found(*_decided(every[:5], every[5] & 1 > 0, every[5] & 2 > 0)[0])
+                yield from found(*_decided(every[:5], every[5] & 1 > 0, every[5] & 2 > 0)[0])
             if of[_BYTES]:
                 yield from indexed(of[_BYTES])
 
-    return run
+    return given_back(run)
 
 
 def _document_runs(names: np.ndarray, ranges: int, length: int, gram: int):
@@ -290,7 +300,7 @@ def _document_runs(names: np.ndarray, ranges: int, length: int, gram: int):
             yield from out.add(runs(held, hasher, length, gram))
         yield from out.done()
 
-    return lambda batches: batched(made(batches))
+    return given_back(lambda batches: batched(made(batches)))
 
 
 def _looked_into(names: np.ndarray, ranges: int, length: int, wide: np.ndarray):
@@ -336,7 +346,7 @@ def _looked_into(names: np.ndarray, ranges: int, length: int, wide: np.ndarray):
             yield from given(rows)
         yield from out.done()
 
-    return lambda batches: batched(made(batches))
+    return given_back(lambda batches: batched(made(batches)))
 
 
 def _cut(fields: int, length: int):
@@ -362,7 +372,7 @@ def _cut(fields: int, length: int):
             digest = pa.array([hashlib.sha256(r[3]).hexdigest() for r in rows], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:fields], *columns, digest], names=[*batch.schema.names[:fields], "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return run
+    return given_back(run)
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, keep: list[str] | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from lodestone.llm import long_repeats as L
@@ -85,3 +86,20 @@ def test_long_texts_and_nulls(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = sorted(L.remove_repeats(df).collect(), key=lambda r: r.doc_id)
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == plain(texts, 200)
+
+
+def test_blocks_and_batches_are_bounded(monkeypatch):
+    """What a task decides leaves it in blocks, and what is found in batches, of at most FOUND rows."""
+    monkeypatch.setattr(L, "FOUND", 100)
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 123, 6000, np.uint8).tobytes()
+    names = np.arange(2, dtype=np.int64)
+    out = L._Out(names, 2)
+    held = [p for rid, raw in enumerate((text, text, text[:3000] + b"-" + text[3001:])) for p in L.pieces(rid, raw, 20)]
+    rows = [*out.add(L.runs(held, L.Hasher(), 20, 13)), *out.done()]
+    done = [L.unpack(block, *L._DECISION) for _, major, kind, block in rows if kind == L._DONE]
+    assert sum(len(d[0]) for d in done) > 1 and max(len(d[0]) for d in done) <= 100
+    many = L.pack(*(np.zeros(950, k) for k in L._DECISION))
+    batch = next(iter(L.batched(iter([(0, -1, L._DONE, many)]))))
+    found = list(L._settled(20)(iter([batch])))
+    assert [b.num_rows for b in found] == [100] * 9 + [50]
