@@ -27,7 +27,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: five-word shingles, similarity 0.8 or more. Texts without words are copies of
+    """Keeps one document of each group of near copies: five-word shingles, similarity 0.8 or more. SimHash fingerprints linked through Golay keys propose copies,
+    MinHash bands those that are further apart; all are verified. Texts without words are copies of
     each other; rows with a null id all stay; rows that share an id are judged by their texts."""
     return without_near_copies(docs)
 

@@ -1,7 +1,8 @@
-"""Near copies by the Jaccard similarity of word shingles: candidates from MinHash bands, each group verified exactly.
+"""Near copies by the Jaccard similarity of word shingles: candidates from SimHash fingerprints linked through Golay keys, and from MinHash bands for the rest; each group verified exactly.
 
-Texts with the same set of shingles are one node (64-bit name of the set). A node has BANDS keys, each made of ROWS minima of its
-shingles' hashes; two nodes of similarity 0.8 miss all keys of each other with a chance of 5 in a million. Nodes that keys connect
+Texts with the same set of shingles are one node (64-bit name of the set). A node has a fingerprint of its shingles, and fingerprints within 4 bits are linked
+through their Golay keys (simhash_golay.py). At a similarity of 0.8 fingerprints differ in some ten bits, which these keys don't reach; so a node also has BANDS keys, each made of ROWS minima of its
+shingles' hashes; two nodes of similarity 0.8 miss all of these keys of each other with a chance of 5 in a million. Nodes that fingerprints or keys connect
 are gathered in one task, where every two that no verified link connects yet are compared by their whole sets. What is linked is
 therefore at least as similar as asked, and within a group nothing depends on the keys.
 """
@@ -15,8 +16,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, stable, staged, without
-from .simhash_golay import components
+from .common import bounded_batches, given_back, stable, staged, without
+from .simhash_golay import components, links
 
 SIZE = 5
 SIMILARITY = 0.8
@@ -52,25 +53,36 @@ def band_keys(own: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
 
 
+def fingerprint_of(own: np.ndarray) -> int | None:
+    """Signed SimHash fingerprint of a set of shingles, each counted once: a bit is 1 if it is in over half of them; none for the empty set."""
+    if not len(own):
+        return None
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(own), 1 << 14):
+        total += np.unpackbits(own[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(own), bitorder="little").view(np.int64)[0])
+
+
 def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
 def _marker(size: int):
-    """Batches (__rid, __id, __text) to (__rid, __id, node, bands)."""
+    """Batches (__rid, __id, __text) to (__rid, __id, node, fp, bands)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, bands, ends = [], [], [0]
+            nodes, fps, bands, ends = [], [], [], [0]
             for x in batch.column(2):
                 own = shingles(x.as_py() or b"", size)
                 nodes.append(xxhash.xxh3_64_intdigest(own.tobytes(), 42))
+                fps.append(fingerprint_of(own))
                 bands.extend(band_keys(own))
                 ends.append(len(bands))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(bands)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_signed(nodes)), lists], names=["__rid", "__id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_signed(nodes)), pa.array(fps, pa.int64()), lists], names=["__rid", "__id", "node", "fp", "bands"])
 
-    return run
+    return given_back(run)
 
 
 def forest(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
@@ -118,7 +130,20 @@ def _verifier(size: int, similarity: float):
                 sets.append(shingles(text.as_py() or b"", size))
         yield closed()
 
-    return run
+    return given_back(run)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """nodes: node, fp, bands. (node, root) of the nodes that fingerprints within 4 bits or equal bands connect, in groups that are still to be verified."""
+    known = nodes.where("fp is not null")
+    # equal fingerprints are one more key
+    keyed = nodes.select(F.explode("bands").alias("key"), "node").unionByName(known.select(F.xxhash64("fp").alias("key"), "node"))
+    # a star in each key's group connects what the key connects
+    least = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("key", "a")
+    stars = keyed.join(least, "key").where("a < node").select("a", F.col("node").alias("b"))
+    one = staged(known.groupBy("fp").agg(F.min("node").alias("node")), "near-fingerprints")
+    golay = links(one.select("fp")).join(one.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(one.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b")
+    return components(stars.unionByName(golay.select(F.col("u").alias("a"), F.col("v").alias("b"))).distinct())
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
@@ -132,17 +157,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = rows.where(F.col(id_col).isNotNull())
     text = F.col(text_col).cast("string").cast("binary").alias("__text")
     kind = docs.schema[id_col].dataType.simpleString()
-    marked = known.select("__rid", F.col(id_col).alias("__id"), text).mapInArrow(_marker(size), f"__rid bigint, __id {kind}, node bigint, bands array<bigint>")
+    marked = known.select("__rid", F.col(id_col).alias("__id"), text).mapInArrow(_marker(size), f"__rid bigint, __id {kind}, node bigint, fp bigint, bands array<bigint>")
     marked = staged(marked, "near-marked")
-    nodes = staged(marked.groupBy("node").agg(F.min(F.struct("__id", "__rid")).alias("first"), F.min("bands").alias("bands")), "near-nodes")
-    keyed = nodes.select(F.explode("bands").alias("key"), "node")
-    # a star in each key's group connects what the key connects
-    least = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("key", "a")
-    groups = components(keyed.join(least, "key").where("a < node").select("a", F.col("node").alias("b")).distinct())
-    asked = nodes.join(groups, "node").select(F.col("first.__rid").alias("__rid"), "node", "root")
+    nodes = staged(marked.groupBy("node").agg(F.min(F.struct("__id", "__rid")).alias("first"), F.min("fp").alias("fp"), F.min("bands").alias("bands")), "near-nodes")
+    asked = nodes.join(candidates(nodes), "node").select(F.col("first.__rid").alias("__rid"), "node", "root")
     texts = known.select("__rid", text).join(asked, "__rid").select("root", "node", "__text").repartition("root").sortWithinPartitions("root")
-    links = staged(texts.mapInArrow(_verifier(size, similarity), "a bigint, b bigint"), "near-links")
-    named = nodes.select("node", "first").join(components(links), "node", "left")
+    verified = staged(texts.mapInArrow(_verifier(size, similarity), "a bigint, b bigint"), "near-links")
+    named = nodes.select("node", "first").join(components(verified), "node", "left")
     kept = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.__rid").alias("__rid"))
     left = rows.join(staged(kept, "near-kept"), "__rid", "left_semi").unionByName(rows.where(F.col(id_col).isNull()))
     return left.drop("__rid")

@@ -83,3 +83,21 @@ def test_ids_and_empty(spark):
 def test_forest_compares_all():
     sets = [np.arange(a, a + 100, dtype=np.uint64) for a in (0, 11, 22, 500, 511, 60)]
     assert sorted(tuple(sorted(x)) for x in N.forest(sets)) == [(0, 1), (1, 2), (3, 4)]
+
+
+def test_candidates_from_fingerprints_and_bands(spark):
+    """Fingerprints within 4 bits connect nodes without a common band, through Golay keys; common bands connect those whose fingerprints are apart."""
+    rng = random.Random(5)
+    fps = [rng.getrandbits(64) for _ in range(5)]
+    near = [fps[0], fps[0] ^ 0b1 ^ 1 << 21 ^ 1 << 42 ^ 1 << 63, fps[1], fps[1], fps[2], fps[2] ^ 0b11111, fps[3], fps[4], None]
+    bands = [[k] for k in range(6)] + [[77], [77], []]
+    rows = [(k, None if f is None else f - (1 << 64 if f >> 63 else 0), b) for k, (f, b) in enumerate(zip(near, bands, strict=True))]
+    got = {r.node: r.root for r in N.candidates(spark.createDataFrame(rows, "node long, fp long, bands array<bigint>")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 6: 6, 7: 6}
+
+
+def test_fingerprint_of_a_set():
+    own = N.shingles(b"a b c d e f g a b c d e f g h")
+    want = sum(1 << k for k in range(64) if 2 * sum(int(h) >> k & 1 for h in own) > len(own))
+    assert N.fingerprint_of(own) % (1 << 64) == want and len(own) < 11
+    assert N.fingerprint_of(own[:0]) is None
