@@ -13,6 +13,10 @@ from lodestone.llm.near_copies import deduplicate as without_near_copies
 from lodestone.llm.zstd_quality import filter_quality
 
 
+#: Cuts and pre-tokens that a worker remembers in the last stage: it shares its executor with what the stages before have left there.
+REMEMBERED = 1 << 16
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the compression classifier rejects. Null and empty texts have no difference in size and are judged
     by the calibration alone; repeated rows are judged alike; without labels all stay."""
@@ -41,7 +45,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes the texts that are left: the other columns, and n_tokens, ids (decimal, comma-joined), ids_sha256 and decoded_sha256, which replace
     columns of these names. A null text has no ids."""
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=[c for c in docs.columns if c != "text"], with_ids=True)
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=[c for c in docs.columns if c != "text"], with_ids=True, remembered=REMEMBERED)
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near_copies), ("decontamination", benchmark), ("bpe", tokens)]

@@ -145,12 +145,14 @@ class Codec:
     """encode(text) gives ids, decode(ids) gives bytes; memory is bounded whatever the texts are.
 
     A boundary between pre-tokens always lies where white space follows another character, so texts are first cut before
-    spaces that do; ids of recent cuts and pre-tokens are remembered (at most twice CHUNKS and PIECES)."""
+    spaces that do; ids of recent cuts and pre-tokens are remembered (at most twice CHUNKS and PIECES, or twice
+    remembered of each)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int | None = None) -> None:
         import regex
 
         self.ranks = ranks
+        self.most_pieces, self.most_chunks = remembered or PIECES, remembered or CHUNKS
         self.tokens = {i: b for b, i in ranks.items()}
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
@@ -167,7 +169,7 @@ class Codec:
             parts = self.split(chunk)
             ids = self.merged(chunk) if len(parts) == 1 and parts[0] == chunk else [i for p in parts for i in self.piece(p)]
         if len(chunk) <= 64:
-            if len(self.chunks) >= CHUNKS:
+            if len(self.chunks) >= self.most_chunks:
                 self.old_chunks, self.chunks = self.chunks, {}
             self.chunks[chunk] = ids
         return ids
@@ -179,7 +181,7 @@ class Codec:
             if ids is None:
                 ids = self.merged(piece)
             if len(piece) <= 64:
-                if len(self.pieces) >= PIECES:
+                if len(self.pieces) >= self.most_pieces:
                     self.old_pieces, self.pieces = self.pieces, {}
                 self.pieces[piece] = ids
         return ids
@@ -211,28 +213,29 @@ class Codec:
 
 
 #: The codecs of this process, so that tasks that follow each other in one worker share what it remembers.
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple[str, str, int | None], Codec] = {}
 
 
-def codec_of(vocabulary: str, pattern: str) -> Codec:
-    if (vocabulary, pattern) not in _CODECS:
+def codec_of(vocabulary: str, pattern: str, remembered: int | None = None) -> Codec:
+    key = vocabulary, pattern, remembered
+    if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[vocabulary, pattern] = Codec(load_ranks(vocabulary), pattern)
-    return _CODECS[vocabulary, pattern]
+        _CODECS[key] = Codec(load_ranks(vocabulary), pattern, remembered)
+    return _CODECS[key]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = False, remembered: int | None = None) -> DataFrame:
     """Encode every whole text and decode the ids again.
 
     Adds n_tokens, ids_sha256 (of the decimal ids, comma-joined), decoded_sha256, and ids (comma-joined) if with_ids.
     vocabulary is a path that the executors can open, with the form of the tiktoken rank files. A null text counts as
     empty (0 tokens, hashes of nothing); bytes that aren't valid UTF-8 are encoded one by one, each a character of its own, and come
     back as they were; repeated rows are kept; input columns of these names are replaced, in any case; an empty table gives an
-    empty table. keep: input columns to carry, else all. Nothing is shuffled, and a row never needs another row."""
+    empty table. keep: input columns to carry, else all. remembered bounds a worker's memory, which lasts beyond the task, and has no part in the result. Nothing is shuffled, and a row never needs another row."""
     fields = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *([("ids", "string")] if with_ids else [])]
 
     def start():
-        codec = codec_of(vocabulary, pattern)
+        codec = codec_of(vocabulary, pattern, remembered)
         decimal = {i: str(i) for i in codec.tokens}
 
         def one(raw: bytes) -> tuple:

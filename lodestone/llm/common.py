@@ -142,4 +142,4 @@ def per_text(docs: DataFrame, text_col: str, fields: list[tuple[str, str]], fn:
             columns = [pa.array([r[i] for r in rows], kinds[i]) for i in range(len(kinds))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], names=[*names, *[n for n, _ in fields]])
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(given_back(run), out)

@@ -88,3 +88,12 @@ def test_documents(spark):
         assert r.n_tokens == len(ids) and r.ids == ",".join(map(str, ids))
         assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
     assert encode_documents(df.limit(0), VOCABULARY, P.PATTERN).count() == 0
+
+
+def test_what_is_remembered_is_bounded():
+    """A codec that remembers little gives the same ids and holds no more than it may."""
+    ranks = load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    text = " ".join(f"word{k % 37},{k}. x{k * k}" for k in range(500))
+    small, large = (Codec(ranks, P.PATTERN, n) for n in (8, 1 << 12))
+    assert small.encode(text) == large.encode(text) and small.decode(small.encode(text)) == text.encode()
+    assert max(len(c) for c in (small.pieces, small.old_pieces, small.chunks, small.old_chunks)) == 8 < len(large.chunks)
