@@ -74,6 +74,18 @@ def test_clean_query(spark):
     assert got == [X.clean_query_text(x) for x in said] == ["foo_bar baz", "", "", "é é"]
 
 
+def test_upper_like_sql(spark):
+    import duckdb
+    import pyarrow as pa
+
+    every = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["Straße ßß ﬁn", "ß", "aßb", "", "ŉ\nǰ", *every]
+    held = pa.table({"t": texts})  # noqa: F841  DuckDB reads it by its name
+    want = duckdb.sql("select t, upper(t) as u from held").fetchall()
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert sorted((r.t, r.u) for r in df.select("t", X.upper(F.col("t")).alias("u")).collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("n", [0, 1, 159, 160, 200, 201, 361])
 def test_chunks(spark, n):
     w = [f"w{i}" for i in range(n)]
