@@ -46,6 +46,16 @@ def test_postings_where_chunks_are(cut, stemmed, monkeypatch):
     assert got == want and all(r.tf == len(r.places) and r.dl == len(plain(TEXTS[int(r.chunk_id[1])])) for r in df.collect())
 
 
+def test_term_counts(cut):
+    want = defaultdict(lambda: [0, 0])
+    for text in TEXTS:
+        for t in plain(text):
+            want[t][1] += 1
+        for t in set(plain(text)):
+            want[t][0] += 1
+    assert {r.term: [r.n, r.occurrences] for r in lexical.term_counts(cut).collect()} == want
+
+
 def test_matches_where_chunks_are(cut, monkeypatch):
     monkeypatch.setattr(lexical, "CELLS", 8)  # a chunk or two at a time
     df = lexical.matches(cut, lexical.phrase_rows([(0, "it_was"), (1, "it was"), (2, "fox fox"), (3, "zzz"), (4, "it it_was_the")]))
