@@ -72,3 +72,21 @@ def test_matches_where_chunks_are(cut, monkeypatch):
     assert got == want
     assert sum(r.f[0] for r in rows if r.query_id is None) == len(TEXTS) and sum(r.dl for r in rows if r.query_id is None) == sum(len(plain(t)) for t in TEXTS)
     assert sum(r.f[0] for r in rows if r.query_id == 2 and not r.chunk_id) == sum("fox" in plain(t) for t in TEXTS)
+
+
+def test_groups_of_queries(spark, monkeypatch):
+    """Equal vectors tie by id, whatever meets them first; a task sends k rows for each query of its group at most."""
+    for name, n in (("BLOCK", 2), ("GROUP", 3), ("ROWS", 7), ("LEAST_PARTS", 2)):
+        monkeypatch.setattr(vector, name, n)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(6, 4))
+    held = [(f"v{i:03}", base[i % 6].tolist()) for i in rng.permutation(120)]
+    asked = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(8, 4)))]
+    df = vector.nearest(spark.createDataFrame(held, "chunk_id string, embedding array<double>").repartition(5), asked, 25)
+    assert "Union" not in plan(df)
+    got = defaultdict(list)
+    for r in df.collect():
+        got[r.query_id].append((r.chunk_id, r.score))
+    for i, v in asked:
+        want = sorted(((c, round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 6)) for c, w in held), key=lambda x: (-x[1], x[0]))[:25]
+        assert sorted(got[i], key=lambda x: (-x[1], x[0])) == want
