@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import SearchSettings
 from ..functions.text import exact_match, position_bonus
 
+#: So many candidates at most are broadcast.
+CANDIDATES = 200_000
 KEY = ["query_id", "chunk_id"]
 
 
@@ -19,11 +21,13 @@ def minmax(score: Column, by: str = "query_id") -> Column:
 
 def fused(lexical: DataFrame, vector: DataFrame, chunks: DataFrame, queries: DataFrame, s: SearchSettings | None = None) -> DataFrame:
     """lexical, vector: (query_id, chunk_id, score), each at most a few hundred rows a query; queries: (query_id, query).
-    The merged candidates with their chunk's columns, bm25, cosine, exact, position_bonus and score, the best merge_k of each query."""
+    The merged candidates with their chunk's columns, bm25, cosine, exact, position_bonus and score, the best merge_k of each query. The few candidates go to the chunks, so that no other chunk is moved."""
     s = s or SearchSettings()
     a = lexical.select(*KEY, minmax(F.col("score")).alias("bm25"))
     b = vector.select(*KEY, minmax(F.col("score")).alias("cosine"))
     merged = a.join(b, KEY, "full_outer").na.fill(0.0, ["bm25", "cosine"])
+    if queries.count() * (s.lex_k + s.vec_k) <= CANDIDATES:
+        merged = F.broadcast(merged)
     full = chunks.join(merged, "chunk_id").where(F.length("text") > 0).join(queries, "query_id")
     parts = full.withColumns({"exact": exact_match(F.col("query"), F.col("text")), "position_bonus": position_bonus(F.col("query"), F.col("text"))})
     total = s.bm25_weight * F.col("bm25") + s.cosine_weight * F.col("cosine") + s.exact_boost * F.col("exact") + s.early_pos_boost * F.col("position_bonus")

@@ -74,6 +74,13 @@ def test_matches_where_chunks_are(cut, monkeypatch):
     assert sum(r.f[0] for r in rows if r.query_id == 2 and not r.chunk_id) == sum("fox" in plain(t) for t in TEXTS)
 
 
+def test_candidates_go_to_the_chunks(spark, cut):
+    found = spark.createDataFrame([(0, "c1", 2.0), (0, "c3", 1.0)], "query_id long, chunk_id string, score double")
+    queries = spark.createDataFrame([(0, "it was")], "query_id long, query string")
+    df = ranking.fused(found, found.limit(1), cut.withColumn("file_id", F.col("path")), queries)
+    assert {r.chunk_id for r in df.collect()} == {"c1", "c3"} and "SortMergeJoin [chunk_id" not in plan(df)
+
+
 def test_groups_of_queries(spark, monkeypatch):
     """Equal vectors tie by id, whatever meets them first; a task sends k rows for each query of its group at most."""
     for name, n in (("BLOCK", 2), ("GROUP", 3), ("ROWS", 7), ("LEAST_PARTS", 2)):
