@@ -97,3 +97,8 @@ def test_groups_of_queries(spark, monkeypatch):
     for i, v in asked:
         want = sorted(((c, round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 6)) for c, w in held), key=lambda x: (-x[1], x[0]))[:25]
         assert sorted(got[i], key=lambda x: (-x[1], x[0])) == want
+
+
+def test_cascade_joins_ids_only(spark):
+    df = __spark_entry__.queries()["delete_cascade"](spark, "/root/testdata/sf0.001")
+    assert "split(" not in plan(df)
