@@ -99,6 +99,15 @@ def test_groups_of_queries(spark, monkeypatch):
         assert sorted(got[i], key=lambda x: (-x[1], x[0])) == want
 
 
+def test_batches_of_long_pages_are_bounded(spark):
+    pages = spark.range(24).repartition(1).select(F.concat(F.lit("/p/"), F.col("id"), F.lit(".md")).alias("path"), F.lit(1).cast("long").alias("mtime"), F.lit(1 << 20).cast("long").alias("size"), F.encode(F.repeat(F.lit("x"), 1 << 20), "UTF-8").alias("content"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert with_text(pages).where("length(text) > 0").count() == 24
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == BATCH_BYTES
+    held = F.pandas_udf(lambda s: s.map(lambda _: len(s)), "long")
+    assert pages.select(held("content").alias("n")).agg(F.max("n")).first()[0] <= BATCH_BYTES >> 20
+
+
 def test_cascade_joins_ids_only(spark):
     df = __spark_entry__.queries()["delete_cascade"](spark, "/root/testdata/sf0.001")
     assert "split(" not in plan(df)
