@@ -108,6 +108,16 @@ def test_batches_of_long_pages_are_bounded(spark):
     assert pages.select(held("content").alias("n")).agg(F.max("n")).first()[0] <= BATCH_BYTES >> 20
 
 
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"{i}.txt").write_text("x")
+    df = spark.read.format("binaryFile").load(str(tmp_path))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    with small_files(spark):
+        assert df.select("path").repartition(1).count() == 60 and spark.read.format("binaryFile").load(str(tmp_path)).rdd.getNumPartitions() <= 5
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
 def test_cascade_joins_ids_only(spark):
     df = __spark_entry__.queries()["delete_cascade"](spark, "/root/testdata/sf0.001")
     assert "split(" not in plan(df)
